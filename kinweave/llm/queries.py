@@ -1,9 +1,12 @@
 """The registered queries of this subpackage and their SQL (where SQL can express the result)."""
 
-from kinweave.llm import chat, warc
+from kinweave.llm import chat, packing, rules, simhash, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op3_rules": rules.op3_rules,
+    "op5_packing": packing.op5_packing,
+    "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
 }
 
