@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL (where SQL can express the result)."""
 
-from kinweave.llm import chat, packing, rules, simhash, warc
+from kinweave.llm import chat, langid, packing, rules, simhash, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
+    "op10_langid": langid.op10_langid,
 }
 
 ORACLES = {
