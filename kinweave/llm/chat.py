@@ -43,19 +43,19 @@ def _role_in(c: Column) -> Column:
 def root_paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``nodes``: tree, node, parent, score, one row per (tree, node), saved. Returns depth and path score of every node that has a root, and the jump tables."""
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    same = lambda a, b, k, l: a["tree"].eqNullSafe(b["tree"]) & (a[k] == b[l])
     j = nodes.alias("n").join(known.alias("k"), F.col("n.tree").eqNullSafe(F.col("k.tree")) & (F.col("n.parent") == F.col("k.parent")), "left")
     state = save(j.select("n.tree", "n.node", F.when(F.col("k.known"), F.col("n.parent")).alias("ptr"), F.lit(1).cast("long").alias("depth"), F.col("n.score").alias("total")))
+    # Only nodes that still point somewhere take part in a round; ``done`` are those that have reached their root.
+    done, active = state.where("ptr is null"), state.where("ptr is not null")
     jumps, n, reach = [], state.count(), 1
-    while True:
-        jumps.append(state.select("tree", "node", "ptr"))
-        if reach > n or not state.where("ptr is not null").limit(1).count():
-            break
-        a, b = state.alias("a"), state.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("ptr").alias("p2"), F.col("depth").alias("d2"), F.col("total").alias("s2")).alias("b")
-        j = a.join(b, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("ptr") == F.col("n2")), "left")
-        state = save(j.select("tree", "node", F.col("p2").alias("ptr"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total")))
+    while reach <= n and active.limit(1).count():
+        jumps.append(active.select("tree", "node", "ptr"))
+        ahead = done.union(active).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("ptr").alias("p2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
+        j = active.join(ahead, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("ptr") == F.col("n2")))
+        state = save(j.select("tree", "node", F.col("p2").alias("ptr"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("s2")).alias("total")))
+        done, active = done.union(state.where("ptr is null")), state.where("ptr is not null")
         reach *= 2
-    return state.where("ptr is null").drop("ptr"), jumps
+    return done.drop("ptr"), jumps
 
 
 def choose_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
@@ -65,8 +65,8 @@ def choose_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     leaves = ranked.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), F.asc("node"))
     paths = save(leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"), "rank", "total", "node", (F.col("depth") - 1).alias("pos")))
-    for k, jump in enumerate(jumps[:-1]):
-        up = jump.where("ptr is not null").select(F.col("tree").alias("t"), F.col("node").alias("at"), "ptr")
+    for k, jump in enumerate(jumps):
+        up = jump.select(F.col("tree").alias("t"), F.col("node").alias("at"), "ptr")
         more = paths.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("at"))).select("tree", "leaf", "rank", "total", F.col("ptr").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
         paths = save(paths.union(more))
     return paths

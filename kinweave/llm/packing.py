@@ -13,6 +13,7 @@ Defined cases: null and empty texts are one piece of the end id; repeated rows a
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -26,7 +27,12 @@ from kinweave.llm.common import arrow, save, slices
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+
+_SIMPLE = re.compile(rb"([A-Za-z\x80-\xff]+)([.,:;!?|*#$%&()-]*)")
+#: Byte-level tokenizers' printable sign for each byte: the byte itself where it is printable, else the next free code point from 256.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = [chr(b) if b in _SHOWN else chr(256 + b - sum(x < b for x in _SHOWN)) for b in range(256)]
 
 _TOKENS = pa.schema([("part", pa.int32()), ("local_start", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _TOKENS_DDL = "part int, local_start long, doc_id long, doc_tokens long, ids binary"
@@ -38,13 +44,18 @@ _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 class Encoder:
-    """Texts (UTF-8) to little-endian ids; words' ids are kept in a cache of at most ``CACHE_WORDS``."""
+    """Texts (UTF-8) to little-endian ids; words' ids are kept in a cache of at most ``CACHE_WORDS``.
+
+    Words of Latin letters and closing marks, nearly all there are, go to the tokenizer's model directly: letters and marks are
+    a pre-token each, as the tokenizer itself would cut them. All others take the tokenizer's whole path.
+    """
 
     def __init__(self, path: str, by_word: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word, self.cache = by_word, {}
 
@@ -52,6 +63,34 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _piece(self, raw: bytes) -> bytes | None:
+        """The ids of one pre-token, or None if it isn't known to be one."""
+        if raw in self.cache:
+            return self.cache[raw]
+        if raw.isascii():
+            text = raw.decode().lower()
+        else:
+            text = raw.decode("utf-8", "replace")
+            low = text.lower()
+            if not text.isalpha() or max(text) > "\u024f" or len(low) != len(text):
+                return None
+            text = "".join(map(_BYTE_SIGNS.__getitem__, low.encode()))
+        return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        rest = []
+        for word in words:
+            m = _SIMPLE.fullmatch(word)
+            letters = self._piece(m[1]) if m else None
+            if letters is None:
+                rest.append(word)
+            elif m[2]:
+                self.cache[word] = letters + self.cache.setdefault(m[2], self._piece(m[2]))
+            else:
+                self.cache[word] = letters
+        for at in range(0, len(rest), 4096):
+            self.cache.update(zip(rest[at : at + 4096], self._ids(rest[at : at + 4096]), strict=True))
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
@@ -59,18 +98,28 @@ class Encoder:
         new = set(chain.from_iterable(words)).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache, new = {}, set(chain.from_iterable(words))
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            self.cache.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
+        self._learn(list(new))
         get = self.cache.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, by_word: bool) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its cache lives on."""
+    if (path, by_word) not in _ENCODERS:
+        _ENCODERS[path, by_word] = Encoder(path, by_word)
+    return _ENCODERS[path, by_word]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, by_word: bool = True) -> DataFrame:
     """``docs``: doc_id, text. Each document's ids (with ``end_id``) and the number of ids before it in its partition."""
 
     def run(batches):
-        encode = Encoder(tokenizer, by_word)
+        from kinweave.llm import packing  # the worker's own module: what it holds outlives this task
+
+        encode = packing.encoder(tokenizer, by_word)
         part, end = TaskContext.get().partitionId(), np.array([end_id], encode.dtype).tobytes()
 
         def each():
