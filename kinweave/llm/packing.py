@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +42,8 @@ _PIECES = pa.schema([
 _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cut_before boolean, cut_after boolean, ids binary"
 
 
-class Encoder:
-    """Texts (UTF-8) to little-endian ids; words' ids are kept in a cache of at most ``CACHE_WORDS``.
+class Encoder(dict):
+    """Texts (UTF-8) to little-endian ids. As a dictionary it holds words' ids, at most ``CACHE_WORDS`` of them.
 
     Words of Latin letters and closing marks, nearly all there are, go to the tokenizer's model directly: letters and marks are
     a pre-token each, as the tokenizer itself would cut them. All others take the tokenizer's whole path.
@@ -57,7 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_word, self.cache = by_word, {}
+        self.by_word = by_word
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -65,8 +64,8 @@ class Encoder:
 
     def _piece(self, raw: bytes) -> bytes | None:
         """The ids of one pre-token, or None if it isn't known to be one."""
-        if raw in self.cache:
-            return self.cache[raw]
+        if raw in self:
+            return self[raw]
         if raw.isascii():
             text = raw.decode().lower()
         else:
@@ -77,30 +76,23 @@ class Encoder:
             text = "".join(map(_BYTE_SIGNS.__getitem__, low.encode()))
         return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        rest = []
-        for word in words:
-            m = _SIMPLE.fullmatch(word)
-            letters = self._piece(m[1]) if m else None
-            if letters is None:
-                rest.append(word)
-            elif m[2]:
-                self.cache[word] = letters + self.cache.setdefault(m[2], self._piece(m[2]))
-            else:
-                self.cache[word] = letters
-        for at in range(0, len(rest), 4096):
-            self.cache.update(zip(rest[at : at + 4096], self._ids(rest[at : at + 4096]), strict=True))
+    def __missing__(self, word: bytes) -> bytes:
+        m = _SIMPLE.fullmatch(word)
+        ids = self._piece(m[1]) if m else None
+        if ids is None:
+            (ids,) = self._ids([word])
+        elif m[2]:
+            ids += self._piece(m[2])
+        self[word] = ids
+        return ids
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
-        words = [t.split() for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, new = {}, set(chain.from_iterable(words))
-        self._learn(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
