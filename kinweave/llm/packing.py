@@ -64,8 +64,6 @@ class Encoder(dict):
 
     def _piece(self, raw: bytes) -> bytes | None:
         """The ids of one pre-token, or None if it isn't known to be one."""
-        if raw in self:
-            return self[raw]
         if raw.isascii():
             text = raw.decode().lower()
         else:
@@ -74,7 +72,7 @@ class Encoder(dict):
             if not text.isalpha() or max(text) > "\u024f" or len(low) != len(text):
                 return None
             text = "".join(map(_BYTE_SIGNS.__getitem__, low.encode()))
-        return np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+        return self.get(raw) or np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         m = _SIMPLE.fullmatch(word)
