@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL (where SQL can express the result)."""
 
-from kinweave.llm import chat, langid, packing, pii, rules, simhash, warc
+from kinweave.llm import chat, langid, packing, pii, rules, secrets, simhash, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_pii": pii.op2_pii,
     "op3_rules": rules.op3_rules,
+    "op4_secrets": secrets.op4_secrets,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 STEP = 512
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once; a plain reuse of an expression within a lambda is worked out at every element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def running_sums(values: Column) -> Column:
     """The sums of an array's first 1, 2, ... values. Blocks of ``STEP`` keep the array copies short."""
     def sums(a: Column, first: Column) -> Column:
@@ -33,8 +38,7 @@ def found(text: Column, pattern: str, guard: Column) -> tuple[Column, Column]:
 def located(matches: Column, gaps: Column) -> Column:
     """array<struct<start, end, hit>> of the matches; ends are exclusive, in code points."""
     lengths = F.transform(matches, lambda m, k: (F.length(F.get(gaps, k)) + F.length(m)).cast("bigint"))
-    ends = running_sums(lengths)
-    placed = F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("hit")))
+    placed = F.zip_with(matches, let(lengths, running_sums), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("hit")))
     return F.when(F.size(matches) > 0, placed).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>"))
 
 
@@ -58,7 +62,10 @@ def redact(text: Column, spans: Column) -> Column:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"), F.get(acc, F.size(acc) - 1)["kind"].alias("kind")))),
         ).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
     )
-    before = lambda m, k: F.coalesce(F.get(m, k - 1)["end"], F.lit(0).cast("bigint"))
-    piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
-    body = F.array_join(F.transform(merged, lambda s, k: F.concat(piece(before(merged, k), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))), "")
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(body, piece(F.element_at(merged, -1)["end"], F.length(text))))
+    def fill(merged: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(merged, k - 1)["end"], F.lit(0).cast("bigint"))
+        piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
+        body = F.array_join(F.transform(merged, lambda s, k: F.concat(piece(before(k), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))), "")
+        return F.concat(body, piece(F.element_at(merged, -1)["end"], F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(merged, fill))
