@@ -208,8 +208,11 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHAR
     draw = F.xxhash64(F.lit("sample"), "doc_id")
     rows = docs.where("lang is not null and doc_id is not null and text is not null").withColumn("draw", draw)
     rows = rows.select("lang", "draw", "doc_id", F.substr("text", (1 + F.pmod(draw, F.greatest(F.length("text") - chars, F.lit(1)))).cast("int"), F.lit(chars)).alias("part"))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "part")
-    kept = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "k", "part").collect()
+    # Ranks within parts of a language first, so that no task gets more than a few thousand rows of a large one.
+    kept, order = rows.withColumn("salt", F.pmod("draw", F.lit(61))), ["draw", "doc_id", "part"]
+    for keys in (["lang", "salt"], ["lang"]):
+        kept = kept.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= per_language)
+    kept = kept.select("lang", "k", "part").collect()
     return [(lang, part.encode()) for lang, _, part in sorted(kept)]
 
 
