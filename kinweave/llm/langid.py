@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.llm.common import arrow, slices
 
@@ -233,6 +234,22 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def detect_rows(docs: DataFrame, model: Model | None, lang: str, score: str) -> DataFrame:
+    """All columns of ``docs`` (with ``text``) and the prediction in columns ``lang`` and ``score``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = predict(model, part.column(at).cast(pa.binary()).to_pylist())
+                langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, langs, scores], names=[*part.schema.names, lang, score])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id="doc_id"):
     """Whether the id's checksum leaves 2 by 4; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
