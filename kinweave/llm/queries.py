@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL (where SQL can express the result)."""
 
-from kinweave.llm import chat, decontam, langid, packing, pii, rules, secrets, simhash, warc
+from kinweave.llm import chat, decontam, langid, packing, pii, rules, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
+    "op8_substrings": substrings.op8_substrings,
     "op9_decontam": decontam.op9_decontam,
     "op10_langid": langid.op10_langid,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op8_substrings": substrings.OP8_SQL,
     "op9_decontam": decontam.OP9_SQL,
 }
