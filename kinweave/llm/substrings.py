@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, save, slices
+from kinweave.llm.common import arrow, discard, save, slices
 
 WINDOW, ANCHOR, STEP = 20, 8, 4
 SEGMENT_WINDOWS = 32
@@ -202,10 +202,12 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:
-    """The segments whose anchor occurs twice or more, with their words and a 128-bit key: a saved table."""
-    found = anchors(docs)
+    """The segments whose anchor occurs twice or more, with their words and a 128-bit key. Written in three steps, each dropping what the last one needed."""
+    found = save(anchors(docs))
     again = found.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
-    chosen = found.join(again, "anchor", "left_semi").groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("parts"))
+    repeated = save(found.select("anchor", "did", "th", "start", "n").join(again, "anchor", "left_semi"))
+    discard(found)
+    chosen = repeated.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("parts"))
 
     def run(batches):
         def each():
@@ -219,13 +221,16 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
 
         return arrow(each(), _SEGMENTS, width=lambda r: len(r[-1]))
 
-    return docs.dropDuplicates(["did", "th"]).join(chosen, ["did", "th"]).mapInArrow(run, "k1 long, k2 long, anchor long, did long, th long, start int, n int, words binary")
+    # A document that is stored twice gives its segments twice, which changes nothing.
+    cut_out = save(docs.join(chosen, ["did", "th"]).mapInArrow(run, "k1 long, k2 long, anchor long, did long, th long, start int, n int, words binary"))
+    discard(repeated)
+    return cut_out
 
 
 def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text) without the words that an earlier window covers: doc_id, n_words, n_removed, kept_sha256, kept."""
     docs = _document(docs)
-    found = save(repeated_segments(docs))
+    found = repeated_segments(docs)
     place = F.struct("did", "th", "start")
     distinct = save(found.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.first("words").alias("words")))
     total = distinct.agg(F.sum(F.col("n") + WINDOW).alias("n")).first()["n"] or 0
@@ -239,6 +244,7 @@ def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     judged = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "k1 long, k2 long, own binary")
     verdicts = save(judged.join(distinct.select("k1", "k2", "place"), ["k1", "k2"]))
+    discard(distinct)
     seen = found.select("k1", "k2", "did", "th", "start", "n").join(verdicts, ["k1", "k2"])
     seen = seen.select("did", "th", "start", "n", F.when(F.struct("did", "th", "start") == F.col("place"), F.col("own")).alias("own"))
     by_document = seen.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "own")).alias("parts"))
