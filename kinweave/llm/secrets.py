@@ -59,7 +59,7 @@ def battery(token: Column) -> Column:
 
     def placed(s: Column) -> Column:
         places = F.transform(F.split(s["token"], ""), lambda c: F.instr(s["alphabet"], c).cast("double"))
-        squares = F.aggregate(F.transform(F.split(s["alphabet"], ""), lambda c: F.length(s["token"]) - F.length(F.replace(s["token"], c, F.lit("")))), start, lambda a, o: a + o * o)
+        squares = F.aggregate(F.transform(F.split(s["alphabet"], ""), lambda c: (F.length(s["token"]) - F.length(F.replace(s["token"], c, F.lit("")))).cast("double")), start, lambda a, o: a + o * o)
         return let(F.struct(places.alias("places"), squares.alias("squares"), F.length(s["token"]).cast("double").alias("n"), F.length(s["alphabet"]).cast("double").alias("k")), summed)
 
     def summed(s: Column) -> Column:
