@@ -247,7 +247,9 @@ def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     discard(distinct)
     seen = found.select("k1", "k2", "did", "th", "start", "n").join(verdicts, ["k1", "k2"])
     seen = seen.select("did", "th", "start", "n", F.when(F.struct("did", "th", "start") == F.col("place"), F.col("own")).alias("own"))
-    by_document = seen.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "own")).alias("parts"))
+    by_document = save(seen.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "own")).alias("parts")))
+    discard(found)
+    discard(verdicts)
 
     def finish(batches):
         def each():
