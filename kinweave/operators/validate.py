@@ -64,3 +64,25 @@ def report(matches: DataFrame, required: DataFrame, candidates: DataFrame | None
     # Examples by rank, counts by sum: no list of all offenders is built.
     ranked = out.withColumn("k", F.row_number().over(Window.partitionBy("rule").orderBy("who")))
     return ranked.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= examples, F.col("who")))), "; ").alias("examples"))
+
+
+def file_problems(spark, path: str, header: list[str]) -> list[str]:
+    """What is wrong with a list file before its rows are read: missing, empty, header, rows without a tab, bytes that are no UTF-8."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return [f"missing file: {path}"]
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None:
+        return [f"empty file: {path}"]
+    found = []
+    if first[0].split("\t") != header:
+        found.append("comma-separated header" if "," in first[0] and "\t" not in first[0] else f"wrong header: {first[0]!r}")
+    value = F.col("value")
+    counts = lines.agg(F.count_if((F.trim(value) != "") & ~F.contains(value, F.lit("\t"))).alias("bare"), F.count_if(~F.is_valid_utf8(value)).alias("bytes")).first()
+    bare = counts["bare"] - (0 if "\t" in first[0] else 1)
+    if bare:
+        found.append(f"{bare} rows without a tab")
+    if counts["bytes"]:
+        found.append(f"{counts['bytes']} rows that are not UTF-8")
+    return found

@@ -431,6 +431,13 @@ def feat_jw_ascii(spark, d):
     return _pairs(spark, d).withColumn("t", S.textual(g(1), g(2), g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", F.round("t.name_jw", 5).alias("jw"))
 
 
+@query()
+def feat_text(spark, d):
+    """Subsequence ratio, token-sort and token-set ratios, with the short circuit; checked against their definitions in the tests."""
+    g = lambda k: M.match_name_ascii(F.col(f"n{k}"))
+    return _pairs(spark, d).withColumn("t", S.textual("n1", "n2", g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", "t.*")
+
+
 @query()
 def feat_soundex(spark, d):
     g = lambda k: S.soundex_codes(M.match_name_ascii(F.col(f"n{k}")))
@@ -492,6 +499,19 @@ def threshold_best(spark, d):
     return evaluate.best_threshold(_sweep(spark, d)).select("percent", F.round("macro_f05", 6).alias("macro_f05"))
 
 
+@query(f"WITH {EVAL}, t AS (SELECT s1_id, count(cand_id) AS n FROM s1 LEFT JOIN (SELECT * FROM cand WHERE score >= 50) USING (s1_id) GROUP BY s1_id) SELECT count(*) AS entities, CAST(sum(n) AS BIGINT) AS matches, round(avg(n), 6) AS per_entity FROM t")
+def match_totals(spark, d):
+    ids = tables.sources(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
+    return evaluate.match_totals(ids, _candidates(spark, d).where("score >= 50")).withColumn("per_entity", F.round("per_entity", 6))
+
+
+@query()
+def threshold_optimum(spark, d):
+    scored = _candidates(spark, d).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
+    percent, sweeps = evaluate.optimise_threshold(tables.sources(spark, d)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d))
+    return sweeps.withColumn("chosen", F.col("percent") == percent)
+
+
 @query(f"WITH {BY} SELECT round(avg(f05) FILTER (WHERE n_true = 0), 6) AS single_mean, round(avg(f05) FILTER (WHERE n_true > 0), 6) AS matched_mean, round(quantile_cont(f05, 0.25), 6) AS p25, round(quantile_cont(f05, 0.5), 6) AS median, round(quantile_cont(f05, 0.75), 6) AS p75, count(*) FILTER (WHERE f05 = 1) AS perfect, count(*) FILTER (WHERE f05 = 0) AS zero FROM fe")
 def score_percentiles(spark, d):
     df = evaluate.score_distribution(_by_entity(spark, d))

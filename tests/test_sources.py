@@ -67,3 +67,20 @@ def test_linkage_plan(spark, sf, tmp_path):
     assert done.lists.count() == q.count()
     assert done.evaluation.first()["macro_f05"] > 0.8
     assert done.problems.count() == 0
+
+
+def test_file_plans(spark, tmp_path):
+    from kinweave.plans import files
+
+    raw = "entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tAcme Inc.\t1 Main St\tUS\nS1-2\tB\t\tUS\n"
+    queries = write(tmp_path / "test_source1.tsv", raw)
+    targets = write(tmp_path / "test_source2.tsv", raw.replace("S1-", "S2-"))
+    files.clean_files(spark, f"{tmp_path}/*_source*.tsv", str(tmp_path / "clean"))
+    assert [r.name_core for r in tables.load_clean(spark, str(tmp_path / "clean/test_source1_clean"), ["entity_id", "name_core"]).orderBy("entity_id").collect()] == ["acme", "b"]
+    good = write(tmp_path / "good.tsv", "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n")
+    assert files.validate_files(spark, good, queries, targets=[targets]) == ([], [])
+    bad = write(tmp_path / "bad.tsv", "source1_entity_id,matched_entity_ids\nS1-1\tS2-7\nS1-2\n")
+    errors, _ = files.validate_files(spark, bad, queries, targets=[targets])
+    assert errors == ["comma-separated header", "1 rows without a tab", "unknown id: 1 (S1-1 S2-7)"]
+    assert files.validate_files(spark, str(tmp_path / "none.tsv"), queries)[0][0].startswith("missing file")
+    assert files.main([good, "--queries", queries]) == 0 and files.main([bad, "--queries", queries]) == 1
