@@ -26,7 +26,7 @@ from kinweave.llm.common import arrow, save, slices
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 _SIMPLE = re.compile(rb"([A-Za-z\x80-\xff]+)([.,:;!?|*#$%&()-]*)")
 #: Byte-level tokenizers' printable sign for each byte: the byte itself where it is printable, else the next free code point from 256.
