@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
+    "op3_rules": rules.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_substrings": substrings.OP8_SQL,
     "op9_decontam": decontam.OP9_SQL,

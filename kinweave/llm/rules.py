@@ -110,3 +110,27 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("host"), "text")
     return apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    fails = ", ".join(f"CAST(({sql}) AS INT) AS x_{k}" for k, (sql, _) in HOST_RULES.items())
+    sums = ", ".join(f"sum(x_{k}) AS f_{k}" for k in HOST_RULES)
+    means = ", ".join(f"least(greatest(avg(f_{k} / n), 1e-4), 1 - 1e-4) AS m_{k}, var_pop(f_{k} / n) AS v_{k}" for k in HOST_RULES)
+    weights = ", ".join(f"m_{k}, least(greatest(m_{k} * (1 - m_{k}) / greatest(v_{k}, 1e-9) - 1, 2.0), 1000.0) AS w_{k}" for k in HOST_RULES)
+    ok = " AND ".join(f"(f_{k} + m_{k} * w_{k}) / (n + w_{k}) <= {limit}" for k, (_, limit) in HOST_RULES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(len(w) - 7)) AS pos, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1 : i + 8], ' '))) AS g FROM d WHERE len(w) >= 9),
+twice AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS reps FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS p FROM twice) GROUP BY doc_id),
+lin AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dups FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT d.doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  coalesce(dups, 0) AS n_dup_lines, coalesce(reps, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)),
+h AS (SELECT host, count(*) AS n, {sums} FROM (SELECT host, {fails} FROM c WHERE host IS NOT NULL) GROUP BY host),
+v AS (SELECT host, {ok} AS host_ok FROM h, (SELECT {weights} FROM (SELECT {means} FROM h)))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND coalesce(host_ok, true) AS kept FROM c LEFT JOIN v USING (host)
+"""
+
+
+OP3_SQL = _sql()
