@@ -120,6 +120,7 @@ def test_op3(spark, folder):
     got = keyed(rules.op3_rules(spark, folder))
     assert {i: r[:6] for i, r in got.items()} == {i: brute.rules(t) for i, t in DOCS.items()}
     assert not any(r[5] and r[6] for r in got.values())
+    against(spark, folder, rules.op3_rules(spark, folder), rules.OP3_SQL)
 
 
 def test_host_verdicts(spark):
