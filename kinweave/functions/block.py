@@ -9,6 +9,11 @@ from kinweave import values as V
 from kinweave.functions.fold import fold, transliterate
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -32,8 +37,11 @@ def _kept(c: Column) -> Column:
 
 def name_tokens(name: Column, folded=fold, spelt=transliterate) -> Column:
     """Words of a name that can identify it, repeats kept; a differing transliteration adds its words, then each counts once."""
-    own, other = norm(name, folded), translit_norm(name, spelt)
-    return F.when((other != "") & (other != own), F.array_distinct(F.concat(_kept(own), _kept(other)))).otherwise(_kept(own))
+    def both(t: Column) -> Column:
+        own, other = t["own"], t["other"]
+        return F.when((other != "") & (other != own), F.array_distinct(F.concat(_kept(own), _kept(other)))).otherwise(_kept(own))
+
+    return let(F.struct(norm(name, folded).alias("own"), translit_norm(name, spelt).alias("other")), both)
 
 
 def prefixes(tokens: Column, length: int = V.PREFIX_LENGTH) -> Column:
@@ -62,7 +70,9 @@ def char_grams(text: Column, n: int = 3) -> Column:
 
 def name_grams(name: Column) -> Column:
     """Distinct 3-grams of a name and of its transliteration where that differs."""
-    return F.array_distinct(F.concat(char_grams(name), F.when(translit_norm(name) != norm(name), grams_of(translit_norm(name))).otherwise(F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    both = lambda t: F.array_distinct(F.concat(grams_of(t["own"]), F.when(t["other"] != t["own"], grams_of(t["other"])).otherwise(none)))
+    return let(F.struct(norm(name).alias("own"), translit_norm(name).alias("other")), both)
 
 
 def source_of(entity_id: Column) -> Column:

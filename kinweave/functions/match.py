@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave import values as V
-from kinweave.functions.block import squeeze
+from kinweave.functions.block import let, squeeze
 from kinweave.functions.clean import lookup
 from kinweave.functions.fold import fold
 
@@ -34,18 +34,23 @@ def match_name(name: Column) -> Column:
 
 
 def _strip_affixes(text: Column) -> Column:
-    end = F.regexp_replace(text, r"\s+$", "")
-    cut = None
-    for suffix in V.MATCH_SUFFIXES:
-        then = F.substr(end, F.lit(1), F.length(end) - len(suffix))
-        cut = F.when(end.endswith(suffix), then) if cut is None else cut.when(end.endswith(suffix), then)
-    text = cut.otherwise(text)
-    start = F.regexp_replace(text, r"^\s+", "")
-    cut = None
-    for prefix in V.MATCH_PREFIXES:
-        then = F.substr(start, F.lit(len(prefix) + 1))
-        cut = F.when(start.startswith(prefix), then) if cut is None else cut.when(start.startswith(prefix), then)
-    return squeeze(cut.otherwise(text))
+    def suffix(t: Column) -> Column:
+        cut = None
+        for word in V.MATCH_SUFFIXES:
+            then = F.substr(t["end"], F.lit(1), F.length(t["end"]) - len(word))
+            cut = F.when(t["end"].endswith(word), then) if cut is None else cut.when(t["end"].endswith(word), then)
+        return cut.otherwise(t["text"])
+
+    def prefix(start: Column) -> Column:
+        cut = None
+        for word in V.MATCH_PREFIXES:
+            then = F.substr(start, F.lit(len(word) + 1))
+            cut = F.when(start.startswith(word), then) if cut is None else cut.when(start.startswith(word), then)
+        return squeeze(cut.otherwise(start))
+
+    # Bound once each: reused as plain expressions they would be copied into every branch.
+    ended = let(text, lambda t: F.struct(t.alias("text"), F.regexp_replace(t, r"\s+$", "").alias("end")))
+    return let(F.regexp_replace(let(ended, suffix), r"^\s+", ""), prefix)
 
 
 def match_name_ascii(normalised: Column) -> Column:
