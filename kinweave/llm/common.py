@@ -30,6 +30,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kinweave-{uuid.uuid4().hex}"
 
 
+#: Arrow batch settings: Spark's default, and what whole texts need so that a few batches in flight stay small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, to be read by Python in small Arrow batches; a session that has settings of its own keeps them."""
+    conf = df.sparkSession.conf
+    for key, (default, own) in BATCHES.items():
+        if conf.get(key) == default:
+            conf.set(key, own)
+    return df
+
+
 def save(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost nothing before it."""
     spark, path = df.sparkSession, scratch(df.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.common import arrow, slices
+from kinweave.llm.common import arrow, lean, slices
 
 WINDOW, HIDDEN, BATCH, STEPS, RATE = 64, 8, 128, 600, 0.01
 SAMPLE, SAMPLE_CHARS = 500, 600
@@ -231,7 +231,7 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
 
         return arrow(each(), _FOUND)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def detect_rows(docs: DataFrame, model: Model | None, lang: str, score: str) -> DataFrame:
@@ -247,7 +247,7 @@ def detect_rows(docs: DataFrame, model: Model | None, lang: str, score: str) ->
                 yield pa.RecordBatch.from_arrays([*part.columns, langs, scores], names=[*part.schema.names, lang, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, save, slices
+from kinweave.llm.common import arrow, lean, save, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -123,7 +123,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, by_word: boo
 
         return arrow(each(), _TOKENS, width=lambda r: len(r[-1]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, _TOKENS_DDL)
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, _TOKENS_DDL)
 
 
 class Windows:

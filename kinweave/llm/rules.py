@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, save, slices, small
+from kinweave.llm.common import arrow, lean, save, slices, small
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -78,7 +78,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
         return arrow(each(), _COUNTS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("host").cast("string"), F.col("text").cast("string").cast("binary")).mapInArrow(run, _COUNTS_DDL)
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("host").cast("string"), F.col("text").cast("string").cast("binary")).mapInArrow(run, _COUNTS_DDL)
 
 
 def host_verdicts(counted: DataFrame, rules: dict[str, tuple[str, float]] = HOST_RULES) -> DataFrame:

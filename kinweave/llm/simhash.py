@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, save, slices
+from kinweave.llm.common import arrow, lean, save, slices
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 SEGMENT_BITS, BLOCKS = 2, 7
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         return arrow(each(), _PRINTS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
 def embed(fp: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:

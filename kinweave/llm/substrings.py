@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, discard, save, slices
+from kinweave.llm.common import arrow, discard, lean, save, slices
 
 WINDOW, ANCHOR, STEP = 20, 8, 4
 SEGMENT_WINDOWS = 32
@@ -198,7 +198,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.repeat(np.array(dids, np.int64), n)), pa.array(np.repeat(np.array(ths, np.int64), n)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], schema=_ANCHORS)
 
-    return docs.mapInArrow(run, "anchor long, did long, th long, start int, n int, times int")
+    return lean(docs).mapInArrow(run, "anchor long, did long, th long, start int, n int, times int")
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:

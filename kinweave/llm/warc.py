@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, save, scratch, slices, small
+from kinweave.llm.common import arrow, lean, save, scratch, slices, small
 
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
@@ -105,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
     Equal payloads are found by their digest in a table of groups of two or more only, which is broadcast if
     small; else the join is shuffled, and AQE splits a hot digest.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
+    own = lean(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
     again = save(own.groupBy("sha").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1 and owner is not null").select("sha", "owner"))
     tagged = own.join(small(again), "sha", "left").select("page_id", "url", "payload", F.when(F.col("owner") != F.coalesce("page_id", F.lit(-(1 << 63)).cast("long")), F.col("owner")).alias("owner"))
 
