@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial, wraps
+from inspect import signature
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +19,21 @@ from kinweave.sources import sinks, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-SMALL = blocking.SMALL
+#: The SQL counterparts are written for SMALL's caps and budgets; the method's own are FULL.
+SMALL, FULL = blocking.SMALL, blocking.Profile()
 
 
 def query(sql: str | None = None):
+    """Registers a query. One with a profile ``p`` runs with FULL; if it has SQL, its own name stays at the SQL's constants and FULL runs as NAME_full."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        name, scaled = f.__name__, "p" in signature(f).parameters
+        whole = wraps(f)(partial(f, p=FULL)) if scaled else f
+        QUERIES[name] = f if sql else whole
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name] = sql
+            if scaled:
+                QUERIES[f"{name}_full"] = whole
         return f
 
     return add
@@ -106,14 +116,18 @@ cand AS (SELECT s1_id, cand_id, source, sa, sb, composite, score, budget FROM m4
 
 
 # ---- Spark building blocks
-def _truth(spark: SparkSession, d: str) -> DataFrame:
-    q, t = tables.sources(spark, d)
+def _sources(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> tuple[DataFrame, DataFrame]:
+    return tables.sources(spark, d)
+
+
+def _truth(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
+    q, t = _sources(spark, d, p)
     key = lambda df, name: df.select(F.col("entity_id").alias(name), "country", B.norm(F.col("name")).alias("key"))
     return key(q, "s1_id").join(key(t, "cand_id"), ["country", "key"]).select("s1_id", "cand_id")
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.candidates(*tables.sources(spark, d), SMALL)
+def _candidates(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
+    return blocking.candidates(*_sources(spark, d, p), p)
 
 
 def _listed(df: DataFrame, **arrays) -> DataFrame:
@@ -319,70 +333,70 @@ def token_df(spark, d):
 
 
 @query(f"WITH {POST} SELECT country, channel, token, df FROM df WHERE df <= {_CAPS}")
-def token_df_capped(spark, d):
-    return blocking.capped(blocking.document_frequency(blocking.token_table(tables.sources(spark, d)[1])), SMALL)
+def token_df_capped(spark, d, p=SMALL):
+    return blocking.capped(blocking.document_frequency(blocking.token_table(_sources(spark, d, p)[1])), p)
 
 
 @query(f"WITH {POST} SELECT country, token, df FROM df WHERE channel = 'name' AND df <= {SMALL.rare}")
-def rare_tokens(spark, d):
-    return blocking.document_frequency(blocking.token_table(tables.sources(spark, d)[1])).where((F.col("channel") == "name") & (F.col("df") <= SMALL.rare)).select("country", "token", "df")
+def rare_tokens(spark, d, p=SMALL):
+    return blocking.document_frequency(blocking.token_table(_sources(spark, d, p)[1])).where((F.col("channel") == "name") & (F.col("df") <= p.rare)).select("country", "token", "df")
 
 
-def _scores(spark, d):
-    return blocking.pair_scores(*tables.sources(spark, d), SMALL)
+def _scores(spark, d, p=SMALL):
+    return blocking.pair_scores(*_sources(spark, d, p), p)
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, sa, hits FROM scored WHERE sa > 0")
-def score_name(spark, d):
-    return _scores(spark, d).where("sa > 0").select("s1_id", "cand_id", "sa", "hits")
+def score_name(spark, d, p=SMALL):
+    return _scores(spark, d, p).where("sa > 0").select("s1_id", "cand_id", "sa", "hits")
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, sb, postal FROM scored WHERE sb > 0")
-def score_addr_postal(spark, d):
-    return _scores(spark, d).where("sb > 0").select("s1_id", "cand_id", "sb", "postal")
+def score_addr_postal(spark, d, p=SMALL):
+    return _scores(spark, d, p).where("sb > 0").select("s1_id", "cand_id", "sb", "postal")
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, CAST(sum(n) AS BIGINT) AS n FROM hit WHERE channel = 'prefix' GROUP BY s1_id, cand_id")
-def score_prefix(spark, d):
-    q, t = tables.sources(spark, d)
+def score_prefix(spark, d, p=SMALL):
+    q, t = _sources(spark, d, p)
     keys = ["country", "channel", "token"]
     posts = blocking.token_table(t).where("channel = 'prefix'")
-    kept = posts.join(blocking.capped(blocking.document_frequency(posts), SMALL), keys).select(*keys, F.col("entity_id").alias("cand_id"), F.col("tf").alias("t_tf"))
+    kept = posts.join(blocking.capped(blocking.document_frequency(posts), p), keys).select(*keys, F.col("entity_id").alias("cand_id"), F.col("tf").alias("t_tf"))
     asked = blocking.token_table(q, query=True).where("channel = 'prefix'").withColumnRenamed("entity_id", "s1_id")
     return asked.join(kept, keys).groupBy("s1_id", "cand_id").agg(F.sum(F.col("tf") * F.col("t_tf")).alias("n"))
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, composite, score FROM scored")
-def score_composite(spark, d):
-    return _scores(spark, d).select("s1_id", "cand_id", F.col("composite").cast("long").alias("composite"), F.col("score").cast("long").alias("score"))
+def score_composite(spark, d, p=SMALL):
+    return _scores(spark, d, p).select("s1_id", "cand_id", F.col("composite").cast("long").alias("composite"), F.col("score").cast("long").alias("score"))
 
 
 @query(f"WITH {FALL} SELECT s1_id, cand_id, CAST(gram_score AS BIGINT) AS gram_score FROM fall")
-def fallback_trigrams(spark, d):
-    q, t = tables.sources(spark, d)
-    return blocking.fallback(q, t, blocking.pair_scores(q, t, SMALL), SMALL).select("s1_id", "cand_id", F.col("gram_score").cast("long").alias("gram_score"))
+def fallback_trigrams(spark, d, p=SMALL):
+    q, t = _sources(spark, d, p)
+    return blocking.fallback(q, t, blocking.pair_scores(q, t, p), p).select("s1_id", "cand_id", F.col("gram_score").cast("long").alias("gram_score"))
 
 
 @query(f"WITH {BUDGET} SELECT s1_id, cand_id, source, score, budget FROM cand")
-def budget_topk(spark, d):
-    return _candidates(spark, d).select("s1_id", "cand_id", "source", "score", F.col("budget").cast("long").alias("budget"))
+def budget_topk(spark, d, p=SMALL):
+    return _candidates(spark, d, p).select("s1_id", "cand_id", "source", "score", F.col("budget").cast("long").alias("budget"))
 
 
 @query(f"""WITH {BUDGET} SELECT ent.entity_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY CASE WHEN source = 'S3' THEN -CAST(substr(cand_id, 4) AS BIGINT) ELSE CAST(substr(cand_id, 4) AS BIGINT) END), '') AS candidate_entity_ids
 FROM ent LEFT JOIN cand ON entity_id = s1_id WHERE entity_id LIKE 'S1-%' GROUP BY entity_id""")
-def candidate_lists(spark, d):
-    return blocking.candidate_lists(tables.sources(spark, d)[0], _candidates(spark, d))
+def candidate_lists(spark, d, p=SMALL):
+    return blocking.candidate_lists(_sources(spark, d, p)[0], _candidates(spark, d, p))
 
 
 # ---- features over the candidates
-def _features(spark, d):
-    q, t = tables.sources(spark, d)
-    return S.pair_features(_candidates(spark, d).select("s1_id", "cand_id"), S.normalised(q), S.normalised(t))
+def _features(spark, d, p=SMALL):
+    q, t = _sources(spark, d, p)
+    return S.pair_features(_candidates(spark, d, p).select("s1_id", "cand_id"), S.normalised(q), S.normalised(t))
 
 
 @query()
-def pair_features(spark, d):
-    return _features(spark, d)
+def pair_features(spark, d, p=SMALL):
+    return _features(spark, d, p)
 
 
 NORMED = f"""{BUDGET},
@@ -391,10 +405,10 @@ fp AS (SELECT c.s1_id, c.cand_id, x.n AS n1, y.n AS n2, x.a AS a1, y.a AS a2, li
   FROM cand c JOIN nrm x ON x.entity_id = c.s1_id JOIN nrm y ON y.entity_id = c.cand_id)"""
 
 
-def _pairs(spark, d):
-    q, t = tables.sources(spark, d)
+def _pairs(spark, d, p=SMALL):
+    q, t = _sources(spark, d, p)
     side = lambda df, k, name: df.select(F.col("entity_id").alias(name), M.match_name(F.col("name")).alias(f"n{k}"), M.match_address(F.col("addr")).alias(f"a{k}"), F.col("addr").alias(f"r{k}"))
-    df = _candidates(spark, d).select("s1_id", "cand_id").join(side(q, 1, "s1_id"), "s1_id").join(side(t, 2, "cand_id"), "cand_id")
+    df = _candidates(spark, d, p).select("s1_id", "cand_id").join(side(q, 1, "s1_id"), "s1_id").join(side(t, 2, "cand_id"), "cand_id")
     return df.withColumns({"w1": M.tokens(F.col("n1")), "w2": M.tokens(F.col("n2"))})
 
 
@@ -403,45 +417,45 @@ def _jac(a: str, b: str) -> str:
 
 
 @query(f"WITH {NORMED} SELECT s1_id, cand_id, round({_jac('w1', 'w2')}, 6) AS jaccard FROM fp")
-def feat_jaccard(spark, d):
-    return _pairs(spark, d).select("s1_id", "cand_id", F.round(S.jaccard(F.col("w1"), F.col("w2")), 6).alias("jaccard"))
+def feat_jaccard(spark, d, p=SMALL):
+    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.jaccard(F.col("w1"), F.col("w2")), 6).alias("jaccard"))
 
 
 @query(f"WITH {NORMED} SELECT s1_id, cand_id, round(CASE WHEN len(w1) = 0 AND len(w2) = 0 THEN 1.0 WHEN len(w1) = 0 OR len(w2) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(w1), list_distinct(w2))) AS DOUBLE) / least(len(list_distinct(w1)), len(list_distinct(w2))) END, 6) AS containment FROM fp")
-def feat_containment(spark, d):
-    return _pairs(spark, d).select("s1_id", "cand_id", F.round(S.containment(F.col("w1"), F.col("w2")), 6).alias("containment"))
+def feat_containment(spark, d, p=SMALL):
+    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.containment(F.col("w1"), F.col("w2")), 6).alias("containment"))
 
 
 @query(f"WITH {NORMED} SELECT s1_id, cand_id, round(CASE WHEN length(n1) = 0 AND length(n2) = 0 THEN 1.0 WHEN length(n1) = 0 OR length(n2) = 0 THEN 0.0 ELSE CAST(least(length(n1), length(n2)) AS DOUBLE) / greatest(length(n1), length(n2)) END, 6) AS ratio, n1 = n2 AND n1 <> '' AS same FROM fp")
-def feat_length_exact(spark, d):
-    return _pairs(spark, d).select("s1_id", "cand_id", F.round(S.length_ratio(F.col("n1"), F.col("n2")), 6).alias("ratio"), ((F.col("n1") == F.col("n2")) & (F.col("n1") != "")).alias("same"))
+def feat_length_exact(spark, d, p=SMALL):
+    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.length_ratio(F.col("n1"), F.col("n2")), 6).alias("ratio"), ((F.col("n1") == F.col("n2")) & (F.col("n1") != "")).alias("same"))
 
 
 _NUMS = r"list_distinct(list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[0-9]+')))"
 
 
 @query(f"WITH {NORMED}, nn AS (SELECT s1_id, cand_id, {_NUMS.format('r1')} AS x, {_NUMS.format('r2')} AS y FROM fp) SELECT s1_id, cand_id, round({_jac('x', 'y')}, 6) AS overlap FROM nn")
-def feat_numbers(spark, d):
-    return _pairs(spark, d).select("s1_id", "cand_id", F.round(S.jaccard(M.numbers(F.col("r1")), M.numbers(F.col("r2"))), 6).alias("overlap"))
+def feat_numbers(spark, d, p=SMALL):
+    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.jaccard(M.numbers(F.col("r1")), M.numbers(F.col("r2"))), 6).alias("overlap"))
 
 
 @query(f"WITH {NORMED}, g2 AS (SELECT s1_id, cand_id, {_ASCII.replace('(n)', '(n1)')} AS x, {_ASCII.replace('(n)', '(n2)')} AS y FROM fp) SELECT s1_id, cand_id, round(CASE WHEN x = '' OR y = '' THEN 0 ELSE jaro_winkler_similarity(x, y) END, 5) AS jw FROM g2")
-def feat_jw_ascii(spark, d):
+def feat_jw_ascii(spark, d, p=SMALL):
     g = lambda k: M.match_name_ascii(F.col(f"n{k}"))
-    return _pairs(spark, d).withColumn("t", S.textual(g(1), g(2), g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", F.round("t.name_jw", 5).alias("jw"))
+    return _pairs(spark, d, p).withColumn("t", S.textual(g(1), g(2), g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", F.round("t.name_jw", 5).alias("jw"))
 
 
 @query()
-def feat_text(spark, d):
+def feat_text(spark, d, p=SMALL):
     """Subsequence ratio, token-sort and token-set ratios, with the short circuit; checked against their definitions in the tests."""
     g = lambda k: M.match_name_ascii(F.col(f"n{k}"))
-    return _pairs(spark, d).withColumn("t", S.textual("n1", "n2", g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", "t.*")
+    return _pairs(spark, d, p).withColumn("t", S.textual("n1", "n2", g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", "t.*")
 
 
 @query()
-def feat_soundex(spark, d):
+def feat_soundex(spark, d, p=SMALL):
     g = lambda k: S.soundex_codes(M.match_name_ascii(F.col(f"n{k}")))
-    return _pairs(spark, d).select("s1_id", "cand_id", S.jaccard(g(1), g(2)).alias("soundex"))
+    return _pairs(spark, d, p).select("s1_id", "cand_id", S.jaccard(g(1), g(2)).alias("soundex"))
 
 
 # ---- evaluation, with the score as a stand-in probability
@@ -463,19 +477,19 @@ fe AS (SELECT *, {_f05('tp', 'n_pred', 'n_true')} AS f05 FROM by_e)"""
 BY = BY.replace("count(truth.s1_id) AS tp", "count(hit_id) AS tp").replace("LEFT JOIN truth USING (s1_id, cand_id) GROUP BY", "LEFT JOIN (SELECT *, cand_id AS hit_id FROM truth) USING (s1_id, cand_id) GROUP BY")
 
 
-def _by_entity(spark, d):
-    ids = tables.sources(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
-    return evaluate.f05_by_entity(ids, _candidates(spark, d).where("score >= 50"), _truth(spark, d))
+def _by_entity(spark, d, p=SMALL):
+    ids = _sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id"))
+    return evaluate.f05_by_entity(ids, _candidates(spark, d, p).where("score >= 50"), _truth(spark, d, p))
 
 
 @query(f"WITH {BY} SELECT s1_id, n_true, n_pred, tp, round(f05, 6) AS f05 FROM fe")
-def f05_entity(spark, d):
-    return _by_entity(spark, d).withColumn("f05", F.round("f05", 6))
+def f05_entity(spark, d, p=SMALL):
+    return _by_entity(spark, d, p).withColumn("f05", F.round("f05", 6))
 
 
 @query(f"WITH {BY} SELECT count(*) AS entities, round(avg(f05), 6) AS macro_f05 FROM fe")
-def f05_macro(spark, d):
-    return evaluate.macro(_by_entity(spark, d)).withColumn("macro_f05", F.round("macro_f05", 6))
+def f05_macro(spark, d, p=SMALL):
+    return evaluate.macro(_by_entity(spark, d, p)).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 SWEEP = f"""{EVAL},
@@ -484,54 +498,54 @@ pp AS (SELECT s1_id, percent, count(*) AS n_pred, count(hit_id) AS tp FROM (SELE
 sw AS (SELECT percent, avg({_f05('coalesce(tp, 0)', 'coalesce(n_pred, 0)', 'coalesce(n_true, 0)')}) AS macro_f05, CAST(sum(coalesce(n_pred, 0)) AS BIGINT) AS n_pred FROM s1 CROSS JOIN th LEFT JOIN nt USING (s1_id) LEFT JOIN pp USING (s1_id, percent) GROUP BY percent)"""
 
 
-def _sweep(spark, d):
-    scored = _candidates(spark, d).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
-    return evaluate.threshold_sweep(tables.sources(spark, d)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d), evaluate.COARSE)
+def _sweep(spark, d, p=SMALL):
+    scored = _candidates(spark, d, p).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
+    return evaluate.threshold_sweep(_sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d, p), evaluate.COARSE)
 
 
 @query(f"WITH {SWEEP} SELECT percent, round(macro_f05, 6) AS macro_f05, n_pred FROM sw")
-def threshold_sweep(spark, d):
-    return _sweep(spark, d).withColumn("macro_f05", F.round("macro_f05", 6))
+def threshold_sweep(spark, d, p=SMALL):
+    return _sweep(spark, d, p).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 @query(f"WITH {SWEEP} SELECT percent, round(macro_f05, 6) AS macro_f05 FROM sw ORDER BY round(sw.macro_f05, 9) DESC, percent LIMIT 1")
-def threshold_best(spark, d):
-    return evaluate.best_threshold(_sweep(spark, d)).select("percent", F.round("macro_f05", 6).alias("macro_f05"))
+def threshold_best(spark, d, p=SMALL):
+    return evaluate.best_threshold(_sweep(spark, d, p)).select("percent", F.round("macro_f05", 6).alias("macro_f05"))
 
 
 @query(f"WITH {EVAL}, t AS (SELECT s1_id, count(cand_id) AS n FROM s1 LEFT JOIN (SELECT * FROM cand WHERE score >= 50) USING (s1_id) GROUP BY s1_id) SELECT count(*) AS entities, CAST(sum(n) AS BIGINT) AS matches, round(avg(n), 6) AS per_entity FROM t")
-def match_totals(spark, d):
-    ids = tables.sources(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
-    return evaluate.match_totals(ids, _candidates(spark, d).where("score >= 50")).withColumn("per_entity", F.round("per_entity", 6))
+def match_totals(spark, d, p=SMALL):
+    ids = _sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id"))
+    return evaluate.match_totals(ids, _candidates(spark, d, p).where("score >= 50")).withColumn("per_entity", F.round("per_entity", 6))
 
 
 @query()
-def threshold_optimum(spark, d):
-    scored = _candidates(spark, d).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
-    percent, sweeps = evaluate.optimise_threshold(tables.sources(spark, d)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d))
+def threshold_optimum(spark, d, p=SMALL):
+    scored = _candidates(spark, d, p).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
+    percent, sweeps = evaluate.optimise_threshold(_sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d, p))
     return sweeps.withColumn("chosen", F.col("percent") == percent)
 
 
 @query(f"WITH {BY} SELECT round(avg(f05) FILTER (WHERE n_true = 0), 6) AS single_mean, round(avg(f05) FILTER (WHERE n_true > 0), 6) AS matched_mean, round(quantile_cont(f05, 0.25), 6) AS p25, round(quantile_cont(f05, 0.5), 6) AS median, round(quantile_cont(f05, 0.75), 6) AS p75, count(*) FILTER (WHERE f05 = 1) AS perfect, count(*) FILTER (WHERE f05 = 0) AS zero FROM fe")
-def score_percentiles(spark, d):
-    df = evaluate.score_distribution(_by_entity(spark, d))
+def score_percentiles(spark, d, p=SMALL):
+    df = evaluate.score_distribution(_by_entity(spark, d, p))
     return df.select(*[F.round(c, 6).alias(c) for c in ("single_mean", "matched_mean", "p25", "median", "p75")], "perfect", "zero")
 
 
 @query(f"WITH {EVAL} SELECT substr(cand_id, 1, 2) AS source, count(*) AS n_true, count(hit_id) AS n_found, round(count(hit_id) / count(*), 6) AS recall FROM truth LEFT JOIN (SELECT s1_id, cand_id, cand_id AS hit_id FROM cand) USING (s1_id, cand_id) GROUP BY 1")
-def recall_by_source(spark, d):
-    return evaluate.recall_by_source(_candidates(spark, d), _truth(spark, d)).withColumn("recall", F.round("recall", 6))
+def recall_by_source(spark, d, p=SMALL):
+    return evaluate.recall_by_source(_candidates(spark, d, p), _truth(spark, d, p)).withColumn("recall", F.round("recall", 6))
 
 
 @query(f"WITH {EVAL} SELECT CASE WHEN composite > 0 THEN 'C' WHEN sa > 0 THEN 'A' WHEN sb > 0 THEN 'B' ELSE 'D' END AS channel, count(*) AS n FROM cand SEMI JOIN truth USING (s1_id, cand_id) GROUP BY 1")
-def attribution(spark, d):
-    return evaluate.attribution(_candidates(spark, d), _truth(spark, d))
+def attribution(spark, d, p=SMALL):
+    return evaluate.attribution(_candidates(spark, d, p), _truth(spark, d, p))
 
 
 @query(f"""WITH {BUDGET}, nc AS (SELECT entity_id, country, count(cand_id) AS n, count(*) FILTER (WHERE source = 'S2') AS n2 FROM ent LEFT JOIN cand ON entity_id = s1_id WHERE entity_id LIKE 'S1-%' GROUP BY ALL)
 SELECT country, count(*) AS queries, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(n2) AS BIGINT) AS from_s2, count(*) FILTER (WHERE n = 0) AS without, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS most FROM nc GROUP BY ROLLUP (country)""")
-def candidate_report(spark, d):
-    df = evaluate.candidate_report(tables.sources(spark, d)[0], _candidates(spark, d))
+def candidate_report(spark, d, p=SMALL):
+    df = evaluate.candidate_report(_sources(spark, d, p)[0], _candidates(spark, d, p))
     return df.withColumns({c: F.round(c, 6) for c in ("median", "p90", "p95", "p99")})
 
 
@@ -561,13 +575,13 @@ def stratified_split(spark, d):
 
 @query(f"""WITH {EVAL}, l AS (SELECT s1_id, cand_id, CAST(hit_id IS NOT NULL AS INT) AS label FROM cand LEFT JOIN (SELECT *, cand_id AS hit_id FROM truth) USING (s1_id, cand_id))
 SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY md5(s1_id || '|' || cand_id || '|42'), cand_id) AS k FROM l) WHERE label = 1 OR k <= 4""")
-def hard_negatives(spark, d):
-    return sampling.hard_negatives(_candidates(spark, d), _truth(spark, d), 4).select("s1_id", "cand_id", "label")
+def hard_negatives(spark, d, p=SMALL):
+    return sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d, p), 4 if p is SMALL else 60).select("s1_id", "cand_id", "label")
 
 
 @query()
-def random_pairs(spark, d):
-    return sampling.random_pairs(*tables.sources(spark, d), _truth(spark, d))
+def random_pairs(spark, d, p=SMALL):
+    return sampling.random_pairs(*_sources(spark, d, p), _truth(spark, d, p))
 
 
 # ---- validation, over lists with planted faults
@@ -645,19 +659,19 @@ def resume_finished(spark, d):
     return sinks.finished_by_country(q, done)
 
 
-def _trained(spark, d):
-    q, t = tables.sources(spark, d)
-    rows = sampling.hard_negatives(_candidates(spark, d), _truth(spark, d), 10)
+def _trained(spark, d, p=SMALL):
+    q, t = _sources(spark, d, p)
+    rows = sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d, p), 10)
     features = S.pair_features(rows.select("s1_id", "cand_id"), S.normalised(q), S.normalised(t)).join(rows, ["s1_id", "cand_id"]).cache()
     return model.train(features, model.PRODUCTION | {"maxIter": 10}), features
 
 
 @query()
-def score_gbt(spark, d):
-    fitted, features = _trained(spark, d)
+def score_gbt(spark, d, p=SMALL):
+    fitted, features = _trained(spark, d, p)
     return model.predict(fitted, features).select("s1_id", "cand_id", "label", "probability")
 
 
 @query()
-def train_gbt(spark, d):
-    return model.importances(_trained(spark, d)[0], spark)
+def train_gbt(spark, d, p=SMALL):
+    return model.importances(_trained(spark, d, p)[0], spark)

@@ -1,0 +1,32 @@
+"""The full-profile queries, which have no SQL, against brute force."""
+
+import pytest
+
+from kinweave import queries as Q
+
+
+def folder(spark, at, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+@pytest.fixture
+def copies(spark, tmp_path):
+    """Three queries and 250 targets with one text: above every cap of SMALL, far below the method's own."""
+    ids = [k for k in range(1, 400) if k % 3][:250] + [3, 6, 9]
+    return folder(spark, tmp_path, [(k, "Quantum Harbour Logistics " * 4, "en", "s", 0) for k in ids])
+
+
+def test_copies_above_the_small_caps_all_meet(spark, copies):
+    lists = {r[0]: r[1].split(",") for r in Q.QUERIES["candidate_lists_full"](spark, copies).collect()}
+    want = {f"S{k % 3 + 1}-{k}" for k in [k for k in range(1, 400) if k % 3][:250]}
+    assert set(lists) == {"S1-3", "S1-6", "S1-9"} and all(set(v) == want and len(v) == 250 for v in lists.values())
+
+
+def test_features_take_the_full_profile(spark, copies):
+    assert Q.QUERIES["pair_features"](spark, copies).count() == 750
+
+
+def test_queries_with_sql_keep_its_constants():
+    assert Q.SMALL.caps["name"] == 200 and Q.FULL.caps["name"] == 25_000
+    assert all(name in Q.QUERIES and name not in Q.ORACLES for name in ("token_df_capped_full", "candidate_lists_full", "recall_by_source_full", "hard_negatives_full"))
