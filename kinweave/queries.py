@@ -19,7 +19,7 @@ from kinweave.sources import sinks, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-#: The SQL counterparts are written for SMALL's caps and budgets; the method's own are FULL.
+#: The SQL counterparts are written for SMALL's caps and budgets and for the first characters of a text; FULL has the method's own and reads whole texts.
 SMALL, FULL = blocking.SMALL, blocking.Profile()
 
 
@@ -117,7 +117,11 @@ cand AS (SELECT s1_id, cand_id, source, sa, sb, composite, score, budget FROM m4
 
 # ---- Spark building blocks
 def _sources(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> tuple[DataFrame, DataFrame]:
-    return tables.sources(spark, d)
+    return tables.sources(spark, d, whole=p is FULL)
+
+
+def _entities(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
+    return tables.entities(spark, d, whole=p is FULL)
 
 
 def _truth(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
@@ -140,8 +144,8 @@ def _sorted(x: str) -> str:
 
 # ---- scans
 @query(f"WITH {ENT} SELECT * FROM ent")
-def scan_entities(spark, d):
-    return tables.entities(spark, d)
+def scan_entities(spark, d, p=SMALL):
+    return _entities(spark, d, p)
 
 
 @query(f"SELECT c_custkey, CASE WHEN c_mktsegment IS NULL OR c_mktsegment IN {_in(V.NULLS)} THEN '' ELSE c_mktsegment END AS segment, CASE WHEN lower(trim(x)) IN {_in(V.NULLS_FOLDED)} THEN '' ELSE trim(x) END AS safe FROM (SELECT *, CASE c_custkey % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'n/a' WHEN 2 THEN 'None' ELSE ' ' || c_name || ' ' END AS x FROM customer)")
@@ -151,13 +155,13 @@ def scan_null_literals(spark, d):
 
 
 @query(f"WITH {TRUTH} SELECT * FROM truth")
-def ground_truth_exploded(spark, d):
-    return _truth(spark, d)
+def ground_truth_exploded(spark, d, p=SMALL):
+    return _truth(spark, d, p)
 
 
 @query(f"WITH {TRUTH} SELECT entity_id, name FROM ent WHERE entity_id IN (SELECT cand_id FROM truth)")
-def semi_join_needed(spark, d):
-    return tables.needed(tables.entities(spark, d), _truth(spark, d).select(F.col("cand_id").alias("entity_id"))).select("entity_id", "name")
+def semi_join_needed(spark, d, p=SMALL):
+    return tables.needed(_entities(spark, d, p), _truth(spark, d, p).select(F.col("cand_id").alias("entity_id"))).select("entity_id", "name")
 
 
 @query("SELECT DISTINCT 'C' || c_custkey AS entity_id FROM customer UNION SELECT 'C' || o_custkey FROM orders")
@@ -168,18 +172,18 @@ def known_ids(spark, d):
 
 # ---- blocking normaliser
 @query(f"WITH {ENT} SELECT entity_id, {_norm('name')} AS name_norm, {_norm('addr')} AS addr_norm, {_norm(_latin('name'))} AS name_latin FROM ent")
-def norm_block(spark, d):
-    return tables.entities(spark, d).select("entity_id", B.norm(F.col("name")).alias("name_norm"), B.norm(F.col("addr")).alias("addr_norm"), B.translit_norm(F.col("name")).alias("name_latin"))
+def norm_block(spark, d, p=SMALL):
+    return _entities(spark, d, p).select("entity_id", B.norm(F.col("name")).alias("name_norm"), B.norm(F.col("addr")).alias("addr_norm"), B.translit_norm(F.col("name")).alias("name_latin"))
 
 
 @query(f"WITH {TOK} SELECT entity_id, {_sorted('names')} AS tokens FROM tok")
-def name_tokens(spark, d):
-    return _listed(tables.entities(spark, d), tokens=B.name_tokens(F.col("name")))
+def name_tokens(spark, d, p=SMALL):
+    return _listed(_entities(spark, d, p), tokens=B.name_tokens(F.col("name")))
 
 
 @query(f"WITH {TOK} SELECT entity_id, {_sorted('addrs')} AS tokens FROM tok")
-def addr_tokens(spark, d):
-    return _listed(tables.entities(spark, d), tokens=B.addr_tokens(F.col("addr")))
+def addr_tokens(spark, d, p=SMALL):
+    return _listed(_entities(spark, d, p), tokens=B.addr_tokens(F.col("addr")))
 
 
 @query(rf"WITH p AS (SELECT page_id AS entity_id, list_filter(string_split({_norm('url')}, ' '), lambda t: length(t) >= 2 AND regexp_matches(t, '[0-9]')) AS nums FROM pages) SELECT entity_id, {_sorted('nums')} AS tokens FROM p")
@@ -189,27 +193,27 @@ def numeric_tokens(spark, d):
 
 
 @query(f"WITH {ENT} SELECT entity_id, array_to_string({_grams(_norm('name'))}, ' ') AS grams FROM ent")
-def char_trigrams(spark, d):
-    return tables.entities(spark, d).select("entity_id", F.array_join(B.char_grams(F.col("name")), " ").alias("grams"))
+def char_trigrams(spark, d, p=SMALL):
+    return _entities(spark, d, p).select("entity_id", F.array_join(B.char_grams(F.col("name")), " ").alias("grams"))
 
 
 @query(f"WITH {TOK} SELECT entity_id, {_sorted('list_distinct(prefixes)')} AS prefixes FROM pre")
-def name_prefixes(spark, d):
-    return _listed(tables.entities(spark, d), prefixes=F.array_distinct(B.prefixes(B.name_tokens(F.col("name")))))
+def name_prefixes(spark, d, p=SMALL):
+    return _listed(_entities(spark, d, p), prefixes=F.array_distinct(B.prefixes(B.name_tokens(F.col("name")))))
 
 
 # ---- cleaner
 _FLAT = "replace(replace(url || ' | ' || substr(html, 1, 400), chr(10), ' '), chr(13), ' ')"
 
 
-def _pages(spark, d):
-    flat = F.replace(F.replace(F.concat("url", F.lit(" | "), F.substring("html", 1, 400)), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+def _pages(spark, d, p=SMALL):
+    flat = F.replace(F.replace(F.concat("url", F.lit(" | "), F.col("html") if p is FULL else F.substring("html", 1, 400)), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", flat.alias("flat"))
 
 
 @query(rf"SELECT page_id, regexp_replace({_FLAT}, '{V.URL}', '', 'g') AS text FROM pages")
-def strip_urls(spark, d):
-    return _pages(spark, d).select("page_id", C.strip_urls(F.col("flat")).alias("text"))
+def strip_urls(spark, d, p=SMALL):
+    return _pages(spark, d, p).select("page_id", C.strip_urls(F.col("flat")).alias("text"))
 
 
 @query(rf"SELECT c_custkey, regexp_replace(x, '{V.PHONE}', '', 'g') AS text FROM (SELECT c_custkey, c_name || ' tel ' || (c_custkey * 7919 + 10000000) || ' no ' || c_custkey || ' 12-34 56.78-90' AS x FROM customer)")
@@ -219,10 +223,11 @@ def strip_phones(spark, d):
 
 
 @query(rf"SELECT page_id, regexp_replace(translate(url || html[1:200], '{V.BRACKETS}', ''), '\|[^\n]*$', '') AS text, translate({_FLAT}, '{V.BRACKETS}', '') AS bare FROM pages".replace("html[1:200]", "substr(replace(html, chr(10), ' '), 1, 200)"))
-def strip_brackets_pipe(spark, d):
+def strip_brackets_pipe(spark, d, p=SMALL):
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    x = F.concat("url", F.substring(F.replace("html", F.lit("\n"), F.lit(" ")), 1, 200))
-    return pages.select("page_id", C.strip_pipe(C.strip_brackets(x)).alias("text")).join(_pages(spark, d).select("page_id", C.strip_brackets(F.col("flat")).alias("bare")), "page_id")
+    html = F.replace("html", F.lit("\n"), F.lit(" "))
+    x = F.concat("url", html if p is FULL else F.substring(html, 1, 200))
+    return pages.select("page_id", C.strip_pipe(C.strip_brackets(x)).alias("text")).join(_pages(spark, d, p).select("page_id", C.strip_brackets(F.col("flat")).alias("bare")), "page_id")
 
 
 @query("SELECT p_partkey, replace(replace(p_name || ' & ' || p_brand || '+' || p_type, '&', ' and '), '+', ' and ') AS text FROM part")
@@ -278,19 +283,19 @@ def postal_code(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.postal_split(x, land).alias("p")).select("c_custkey", "p.code", "p.rest")
 
 
-def _raw(spark, d):
-    df = tables.entities(spark, d)
+def _raw(spark, d, p=SMALL):
+    df = _entities(spark, d, p)
     return df.select("entity_id", F.col("name").alias("business_name"), F.concat("addr", F.lit(", Suite 4, Seattle, WA 98101")).alias("business_address"), F.lit("US").alias("country"))
 
 
 @query()
-def preprocess(spark, d):
-    return C.preprocess(_raw(spark, d))
+def preprocess(spark, d, p=SMALL):
+    return C.preprocess(_raw(spark, d, p))
 
 
 @query()
-def blocking_keys(spark, d):
-    return C.blocking_keys(C.preprocess(_raw(spark, d)))
+def blocking_keys(spark, d, p=SMALL):
+    return C.blocking_keys(C.preprocess(_raw(spark, d, p)))
 
 
 # ---- matching normaliser
@@ -310,14 +315,14 @@ _ASCII = rf"trim(regexp_replace(regexp_replace(strip_accents(n), '[^a-z0-9\s]',
 
 
 @query(f"WITH {ENT}, m AS (SELECT entity_id, {_mname('name')} AS n FROM ent) SELECT entity_id, n AS name_norm, {_ASCII} AS name_ascii FROM m")
-def match_name_norm(spark, d):
-    df = tables.entities(spark, d).select("entity_id", M.match_name(F.col("name")).alias("name_norm"))
+def match_name_norm(spark, d, p=SMALL):
+    df = _entities(spark, d, p).select("entity_id", M.match_name(F.col("name")).alias("name_norm"))
     return df.withColumn("name_ascii", M.match_name_ascii(F.col("name_norm")))
 
 
 @query(f"WITH {ENT}, m AS (SELECT entity_id, {_maddr('addr')} AS a FROM ent) SELECT entity_id, a AS addr_norm, array_to_string(list_transform(list_filter(string_split(a, ' '), lambda t: t <> ''), lambda t: coalesce({_case(V.MATCH_STREETS, 't')}, t)), ' ') AS expanded FROM m")
-def match_addr_norm(spark, d):
-    df = tables.entities(spark, d).select("entity_id", M.match_address(F.col("addr")).alias("addr_norm"))
+def match_addr_norm(spark, d, p=SMALL):
+    df = _entities(spark, d, p).select("entity_id", M.match_address(F.col("addr")).alias("addr_norm"))
     return df.withColumn("expanded", M.expand_address(F.col("addr_norm"), F.lit("us")))
 
 
@@ -328,8 +333,8 @@ def numbers_set(spark, d):
 
 # ---- document frequency and scores
 @query(f"WITH {POST} SELECT country, channel, token, df FROM df")
-def token_df(spark, d):
-    return blocking.document_frequency(blocking.token_table(tables.sources(spark, d)[1]))
+def token_df(spark, d, p=SMALL):
+    return blocking.document_frequency(blocking.token_table(_sources(spark, d, p)[1]))
 
 
 @query(f"WITH {POST} SELECT country, channel, token, df FROM df WHERE df <= {_CAPS}")
@@ -569,8 +574,8 @@ def sample_per_country(spark, d):
 @query(f"""WITH {TRUTH}, c AS (SELECT s1_id, count(DISTINCT cand_id) AS n FROM truth GROUP BY s1_id),
 b AS (SELECT entity_id, country, CASE WHEN coalesce(n, 0) = 0 THEN '0' WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' ELSE '6+' END AS bucket FROM ent LEFT JOIN c ON s1_id = entity_id WHERE entity_id LIKE 'S1-%')
 SELECT entity_id, country, bucket, row_number() OVER (PARTITION BY country, bucket ORDER BY md5(entity_id || '|42'), entity_id) <= floor(count(*) OVER (PARTITION BY country, bucket) * 0.15 + 0.5) AS validation FROM b""")
-def stratified_split(spark, d):
-    return sampling.stratified_split(tables.sources(spark, d)[0], _truth(spark, d))
+def stratified_split(spark, d, p=SMALL):
+    return sampling.stratified_split(_sources(spark, d, p)[0], _truth(spark, d, p))
 
 
 @query(f"""WITH {EVAL}, l AS (SELECT s1_id, cand_id, CAST(hit_id IS NOT NULL AS INT) AS label FROM cand LEFT JOIN (SELECT *, cand_id AS hit_id FROM truth) USING (s1_id, cand_id))

@@ -115,15 +115,23 @@ def load_config(path: str, spark: SparkSession) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test tables' stand-in records: documents dealt to three sources, text cut to name and address, language for country."""
+#: A text's first line or first sentence, whichever ends first.
+_FIRST = r"^\s*\S[^\n]*?(?:[.!?](?=\s)|(?=\n)|\z)"
+
+
+def entities(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The test tables' stand-in records: documents dealt to three sources, language for country, text cut to name and address: characters 1-60 and 61-160, or (``whole``) first sentence and all the rest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = (F.col("doc_id") % 3 + 1).cast("string")
-    return docs.select(F.concat(F.lit("S"), source, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.substring("text", 1, 60).alias("name"), F.substring("text", 61, 100).alias("addr"), F.col("lang").alias("country"))
+    ids = F.concat(F.lit("S"), source, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id")
+    if not whole:
+        return docs.select(ids, F.substring("text", 1, 60).alias("name"), F.substring("text", 61, 100).alias("addr"), F.col("lang").alias("country"))
+    docs = docs.withColumn("name", F.regexp_extract("text", _FIRST, 0))
+    return docs.select(ids, "name", F.substr("text", F.length("name") + 1).alias("addr"), F.col("lang").alias("country"))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Queries (source one) and targets (sources two and three)."""
-    df = entities(spark, sf_dir)
+    df = entities(spark, sf_dir, whole)
     first = F.col("entity_id").startswith("S1-")
     return df.where(first), df.where(~first)

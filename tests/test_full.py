@@ -30,3 +30,16 @@ def test_features_take_the_full_profile(spark, copies):
 def test_queries_with_sql_keep_its_constants():
     assert Q.SMALL.caps["name"] == 200 and Q.FULL.caps["name"] == 25_000
     assert all(name in Q.QUERIES and name not in Q.ORACLES for name in ("token_df_capped_full", "candidate_lists_full", "recall_by_source_full", "hard_negatives_full"))
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    pad = "alpha beta " * 40
+    d = folder(spark, tmp_path, [(3, f"Harbour one. {pad}zanzibar quixotic", "en", "s", 0), (4, f"Mountain two\n{pad[:-1]} zanzibar quixotic", "en", "s", 0), (5, None, "en", "s", 0), (7, "  ", "en", "s", 0)])
+    spark.createDataFrame([(1, "u", "x" * 500 + " http://www.late-site.com <b>| gone")], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    got = {r.entity_id: (r.name, r.addr) for r in Q.QUERIES["scan_entities_full"](spark, d).collect()}
+    assert got["S1-3"][0] == "Harbour one." and got["S2-4"][0] == "Mountain two" and got["S3-5"] == (None, None) and got["S2-7"] == ("", "  ")
+    assert got["S1-3"][1].endswith("quixotic") and len("".join(got["S1-3"])) == len(f"Harbour one. {pad}zanzibar quixotic")
+    assert "quixotic" in {r.token for r in Q.QUERIES["token_df_full"](spark, d).collect()}
+    assert "late-site" not in Q.QUERIES["strip_urls_full"](spark, d).first().text
+    row = Q.QUERIES["strip_brackets_pipe_full"](spark, d).first()
+    assert row.text.endswith(" b") and "x" * 500 in row.text and row.bare.endswith("b| gone")
