@@ -2,8 +2,8 @@
 
 Every window of ``WINDOW`` words belongs to the least of its ``ANCHOR``-word shingles' hashes; consecutive windows with the same least hash make a segment. Equal
 windows have equal anchors, so only segments whose anchor occurs again can hold repeats, and the shard of an anchor sees all occurrences
-of its windows. Equal segments are merged before a shard sees them, with the earliest place of each; what a shard gets is bounded by ``SHARD_WORDS``
-through the number of shards.
+of its windows. Equal segments are merged before a shard sees them, with the earliest place of each. Anchors whose segments hold more than a quarter of ``SHARD_WORDS`` go to
+no shard: their windows are grouped by a 128-bit hash of their own words, so that shards stay bounded whatever the anchors are.
 
 A shard's text is indexed as an FM-index: suffix order by prefix doubling, the Burrows-Wheeler transform over groups of ``STEP`` words (the group that stands
 ``STEP`` places before each suffix), held as a bit-packed wavelet matrix with popcount ranks. All windows are searched backward at once, a group at a time, while their interval
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow, discard, lean, save, slices
+from kinweave.llm.common import BROADCAST_ROWS, arrow, discard, lean, save, slices
 
 WINDOW, ANCHOR, STEP = 20, 8, 4
 SEGMENT_WINDOWS = 32
@@ -31,6 +31,7 @@ SHARD_WORDS = 1_000_000
 
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(ANCHOR)]
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32())])
+_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("k", pa.int32())])
 _SEGMENTS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 _DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -227,6 +228,32 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     return cut_out
 
 
+def hot_anchors(distinct: DataFrame) -> DataFrame:
+    """anchor of those whose distinct segments hold too many words for one shard; of W words in all, fewer than 4 W / SHARD_WORDS."""
+    return distinct.groupBy("anchor").agg(F.sum(F.col("n") + WINDOW).alias("n")).where(F.col("n") > SHARD_WORDS // 4).select("anchor")
+
+
+def window_firsts(hot: DataFrame) -> DataFrame:
+    """What ``firsts`` finds, for segments of any number (k1, k2, place, n, words), by grouping windows in place of an index: k1, k2, own."""
+
+    def run(batches):
+        def each():
+            for k1s, k2s, places, ns, texts in slices(batches, 64):
+                for k1, k2, place, n, text in zip(k1s, k2s, places, ns, texts, strict=True):
+                    words = text.split(b" ")
+                    for k in range(n):
+                        key = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + WINDOW]))
+                        yield _signed(key >> 64), _signed(key & (1 << 64) - 1), place["did"], place["th"], place["start"] + k, k1, k2, k
+
+        return arrow(each(), _WINDOWS)
+
+    windows = lean(hot.select("k1", "k2", "place", "n", "words")).mapInArrow(run, "w1 long, w2 long, did long, th long, at int, k1 long, k2 long, k int")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", "at", "k1", "k2", "k")).alias("f"))
+    own = earliest.groupBy("f.k1", "f.k2").agg(F.collect_list("f.k").alias("own"))
+    flags = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(F.array_contains("own", k), "01").otherwise("00"))
+    return hot.select("k1", "k2", "n").join(own, ["k1", "k2"], "left").select("k1", "k2", F.unhex(F.array_join(flags, "")).alias("own"))
+
+
 def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text) without the words that an earlier window covers: doc_id, n_words, n_removed, kept_sha256, kept."""
     docs = _document(docs)
@@ -242,7 +269,13 @@ def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         flags = firsts(t.column("words").to_pylist(), t.column("n").to_numpy().astype(np.int64), places)
         return pa.table({"k1": t.column("k1"), "k2": t.column("k2"), "own": pa.array(flags, pa.binary())})
 
-    judged = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "k1 long, k2 long, own binary")
+    hot = save(hot_anchors(distinct))
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    cold = distinct.join(hot, "anchor", "left_anti") if n_hot else distinct
+    judged = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "k1 long, k2 long, own binary")
+    if n_hot:
+        judged = judged.unionByName(window_firsts(distinct.join(hot, "anchor", "left_semi")))
     verdicts = save(judged.join(distinct.select("k1", "k2", "place"), ["k1", "k2"]))
     discard(distinct)
     seen = found.select("k1", "k2", "did", "th", "start", "n").join(verdicts, ["k1", "k2"])
