@@ -666,9 +666,9 @@ def resume_finished(spark, d):
 
 def _trained(spark, d, p=SMALL):
     q, t = _sources(spark, d, p)
-    rows = sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d, p), 10)
+    rows = sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d, p))
     features = S.pair_features(rows.select("s1_id", "cand_id"), S.normalised(q), S.normalised(t)).join(rows, ["s1_id", "cand_id"]).cache()
-    return model.train(features, model.PRODUCTION | {"maxIter": 10}), features
+    return model.train(features), features
 
 
 @query()
