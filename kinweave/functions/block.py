@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinweave import values as V
-from kinweave.functions.fold import fold, transliterate
+from kinweave.functions.fold import fold_script, transliterate_script
 
 
 def let(value: Column, then) -> Column:
@@ -22,12 +22,12 @@ def _plain(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "))
 
 
-def norm(c: Column, folded=fold) -> Column:
+def norm(c: Column, folded=fold_script) -> Column:
     """Folded, lower-case words with single spaces."""
     return _plain(folded(F.coalesce(c, F.lit(""))))
 
 
-def translit_norm(c: Column, spelt=transliterate) -> Column:
+def translit_norm(c: Column, spelt=transliterate_script) -> Column:
     return norm(spelt(F.coalesce(c, F.lit(""))))
 
 
@@ -35,7 +35,7 @@ def _kept(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda t: (F.length(t) >= V.MIN_TOKEN) & ~t.isin(V.NAME_STOPS) & ~t.rlike(r"^\p{Nd}+$"))
 
 
-def name_tokens(name: Column, folded=fold, spelt=transliterate) -> Column:
+def name_tokens(name: Column, folded=fold_script, spelt=transliterate_script) -> Column:
     """Words of a name that can identify it, repeats kept; a differing transliteration adds its words, then each counts once."""
     def both(t: Column) -> Column:
         own, other = t["own"], t["other"]

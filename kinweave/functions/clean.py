@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave import values as V
 from kinweave.functions.block import squeeze
-from kinweave.functions.fold import transliterate
+from kinweave.functions.fold import transliterate_script
 
 
 
@@ -97,7 +97,7 @@ def name_text(latin: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(text, V.HYPHEN_SUFFIX, " "), r"[^\w\s\-\.]", " "))
 
 
-def with_clean_name(df, raw: str, spelt=transliterate):
+def with_clean_name(df, raw: str, spelt=transliterate_script):
     """``df`` with name_original, name_clean, name_translit, name_core, legal_suffix."""
     own = F.coalesce(F.col(raw), F.lit(""))
     df = df.withColumn("_trim", F.regexp_replace(own, r"^\s+|\s+$", "")).withColumn("name_translit", spelt(F.col("_trim")))
@@ -144,7 +144,7 @@ def postal_split(text: Column, country: Column) -> Column:
     return case.otherwise(F.struct(text.alias("rest"), F.lit("").alias("code")))
 
 
-def address_text(raw: Column, spelt=transliterate) -> Column:
+def address_text(raw: Column, spelt=transliterate_script) -> Column:
     """The address after all cleaning, before it is taken apart."""
     latin = spelt(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
     text = strip_brackets(strip_urls(strip_nulls(latin)))
@@ -152,7 +152,7 @@ def address_text(raw: Column, spelt=transliterate) -> Column:
     return squeeze(expand_streets(F.regexp_replace(text, r"[^\w\s,\.\-/#]", " ")))
 
 
-def with_clean_address(df, raw: str, country: str, spelt=transliterate):
+def with_clean_address(df, raw: str, country: str, spelt=transliterate_script):
     """``df`` with addr_original, addr_clean, addr_translit, addr_city, addr_state, addr_postal_code; in steps, so that no part is worked out twice."""
     own = F.coalesce(F.col(raw), F.lit(""))
     land = F.lower(F.trim(F.coalesce(F.col(country), F.lit(""))))
@@ -182,7 +182,7 @@ def with_clean_address(df, raw: str, country: str, spelt=transliterate):
 CLEAN = "entity_id country business_name business_address name_original name_clean name_translit name_core legal_suffix addr_original addr_clean addr_translit addr_city addr_state addr_postal_code".split()
 
 
-def preprocess(raw, spelt=transliterate):
+def preprocess(raw, spelt=transliterate_script):
     """Raw records (entity_id, business_name, business_address, country) to the 15 clean columns. Narrow: no shuffle."""
     text = ["business_name", "business_address"]
     df = raw.select("entity_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text], F.coalesce("country", F.lit("")).alias("_raw"))

@@ -57,6 +57,12 @@ def transliterate(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.lower(out))
 
 
+_CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch \" y ' e iu ia io i yi ie g".split(), strict=True))
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+#: Letters whose Unicode names do not spell them.
+_NAMED = _CYRILLIC | _GREEK
+
+
 @cache
 def _letter(c: str) -> str:
     """ASCII for one character, from its Unicode name where it has no decomposition to ASCII."""
@@ -67,6 +73,8 @@ def _letter(c: str) -> str:
     plain = fold_text(c)
     if plain.isascii():
         return plain
+    if spelt := _NAMED.get(c.lower()) or _NAMED.get(plain.lower()):
+        return spelt
     name = unicodedata.name(c, "")
     if "VOWEL SIGN" in name:
         return name.split("VOWEL SIGN ")[1].split()[-1].lower()
@@ -83,7 +91,7 @@ def _letter(c: str) -> str:
             own = name.split(kind)[1].split(" WITH ")[0].split()[-1].lower()
             # Indic consonants carry an inherent vowel that the letters around them spell out.
             return own[:-1] if len(own) > 1 and own.endswith("a") and name.split()[0] in _INDIC else own
-    return " " if c.isspace() else ""
+    return " " if c.isspace() or unicodedata.category(c)[0] == "P" else ""
 
 
 _INDIC = {"DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA"}
@@ -97,3 +105,25 @@ def transliterate_text(text: str) -> str:
 def transliterate_any(s: pd.Series) -> pd.Series:
     """Any script as lower-case ASCII."""
     return s.map(lambda t: t if t is None else transliterate_text(t))
+
+
+#: Letters, marks and digits that ``fold`` and ``transliterate`` leave alone.
+_OTHER = r"[\p{L}\p{M}\p{N}&&[^\x00-\x7F\u00C0-\u024F]]"
+
+
+def _by_script(c: Column, native, kernel) -> Column:
+    """``native(c)`` for Latin text; only values with other scripts reach the Arrow kernel."""
+    other = c.rlike(_OTHER)
+    return F.when(other, kernel(F.when(other, c))).otherwise(native(c))
+
+
+def fold_script(c: Column) -> Column:
+    return _by_script(c, fold, fold_any)
+
+
+def transliterate_script(c: Column) -> Column:
+    return _by_script(c, transliterate, transliterate_any)
+
+
+def strip_script(c: Column) -> Column:
+    return _by_script(c, fold, strip_marks)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from kinweave import values as V
 from kinweave.functions.block import let, squeeze
 from kinweave.functions.clean import lookup
-from kinweave.functions.fold import fold
+from kinweave.functions.fold import strip_script
 
 NUMBER = r"(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])"
 _EDGE = r"(?![\p{L}\p{N}_])"
@@ -24,9 +24,15 @@ def compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def _composed(c: Column) -> Column:
+    """NFC where a mark stands alone; all other text is composed already or not composable."""
+    marked = c.rlike(r"\p{M}")
+    return F.when(marked, compose(F.when(marked, c))).otherwise(c)
+
+
 def match_name(name: Column) -> Column:
     """Lower case without URLs, punctuation, one legal suffix (as a string, without regard to words) and one honorific."""
-    text = F.lower(F.coalesce(name, F.lit("")))
+    text = F.lower(_composed(F.coalesce(name, F.lit(""))))
     text = F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and "))
     text = F.regexp_replace(text, rf"https?://\S+|www\.\S+|\S+\.(?:com|org|net|co\.in){_EDGE}", "")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")
@@ -55,11 +61,11 @@ def _strip_affixes(text: Column) -> Column:
 
 def match_name_ascii(normalised: Column) -> Column:
     """A normalised name without accents and all that is not ASCII."""
-    return squeeze(F.regexp_replace(fold(normalised), r"[^a-z0-9\s]", ""))
+    return squeeze(F.regexp_replace(strip_script(normalised), r"[^a-z0-9\s]", ""))
 
 
 def match_address(addr: Column) -> Column:
-    text = F.replace(F.lower(F.coalesce(addr, F.lit(""))), F.lit("&"), F.lit(" and "))
+    text = F.replace(F.lower(_composed(F.coalesce(addr, F.lit("")))), F.lit("&"), F.lit(" and "))
     return squeeze(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "))
 
 
