@@ -59,9 +59,11 @@ def numeric_tokens(addr: Column) -> Column:
 
 def grams_of(text: Column, n: int = 3) -> Column:
     """Character n-grams of normalised text without its spaces; a shorter text is its own gram."""
-    solid = F.replace(text, F.lit(" "), F.lit(""))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(solid) - n + 1)), lambda i: F.substr(solid, i, F.lit(n)))
-    return F.when(solid == "", F.array().cast("array<string>")).otherwise(cut)
+    def cut(chars: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(chars) - n)), lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.get(chars, 0) == "", F.array().cast("array<string>")).otherwise(grams)
+
+    return let(F.split(F.replace(text, F.lit(" "), F.lit("")), ""), cut)
 
 
 def char_grams(text: Column, n: int = 3) -> Column:

@@ -6,10 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinweave import values as V
-from kinweave.functions.block import squeeze
+from kinweave.functions.block import let, squeeze
 from kinweave.functions.fold import transliterate_script
 
 
+def bound(value: Column, *steps) -> Column:
+    """The steps one after the other. Each value is bound once, so that Catalyst has nothing to copy into every place that uses it."""
+    for step in steps:
+        value = let(value, step)
+    return value
+
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The table's value for ``key``, else null."""
@@ -71,24 +77,36 @@ def _drop_last(a: Column, n: Column) -> Column:
     return F.slice(a, F.lit(1), F.greatest(F.size(a) - n, F.lit(0)))
 
 
-def with_legal_suffix(df, tokens: str):
-    """``df`` with ``_core`` (array) and ``_suffix`` of a name's tokens: a tail phrase, the tail's suffixes (canonical, in order), then suffixes at the head. In steps, so that no part is worked out twice."""
-    toks = F.col(tokens)
-    tail2 = F.array_join(F.slice(toks, F.greatest(F.size(toks) - 1, F.lit(1)), F.lit(2)), " ")
-    df = df.withColumn("_phrase", F.when(F.size(toks) >= 2, lookup(V.LEGAL_PHRASES, tail2)))
-    phrase = F.col("_phrase")
-    df = df.withColumn("_first", F.when(phrase.isNotNull(), _drop_last(toks, F.lit(2))).otherwise(toks))
-    df = df.withColumn("_run", _tail_run(F.transform("_first", lambda t: _any_of(V.LEGAL_SUFFIXES, t))))
-    popped = F.transform(F.slice("_first", F.greatest(F.size("_first") - F.col("_run") + 1, F.lit(1)), F.col("_run")), lambda t: lookup(V.LEGAL_SUFFIXES, t))
-    known = F.when(phrase.isNotNull(), F.array(phrase)).otherwise(F.array().cast("array<string>"))
-    # From the right each new canonical goes to the front, so of repeats the rightmost stands.
-    tail = F.concat(F.array_except(F.reverse(F.array_distinct(F.reverse(popped))), known), known)
-    df = df.withColumns({"_tail": tail, "_rest": _drop_last(F.col("_first"), F.col("_run"))})
-    df = df.withColumn("_lead", F.least(_head_run(F.transform("_rest", lambda t: _any_of(V.LEGAL_PREFIXES, t))), F.greatest(F.size("_rest") - 1, F.lit(0))))
-    heads = F.array_distinct(F.transform(F.slice("_rest", F.lit(1), F.col("_lead")), lambda t: F.coalesce(lookup(V.LEGAL_SUFFIXES, t), t)))
-    core = F.slice("_rest", F.col("_lead") + 1, F.greatest(F.size("_rest") - F.col("_lead"), F.lit(0)))
-    df = df.withColumns({"_core": core, "_suffix": F.array_join(F.concat("_tail", F.array_except(heads, F.col("_tail"))), " ")})
-    return df.drop("_phrase", "_first", "_run", "_tail", "_rest", "_lead")
+def legal_parts(tokens: Column) -> Column:
+    """struct<core, suffix> of a name's tokens: core as an array; as suffix a tail phrase, the tail's suffixes (canonical, in order), then suffixes at the head."""
+    none = F.array().cast("array<string>")
+
+    def phrase(t: Column) -> Column:
+        last = F.array_join(F.slice(t, F.greatest(F.size(t) - 1, F.lit(1)), F.lit(2)), " ")
+        return F.struct(t.alias("all"), F.when(F.size(t) >= 2, lookup(V.LEGAL_PHRASES, last)).alias("phrase"))
+
+    def first(s: Column) -> Column:
+        found = s["phrase"].isNotNull()
+        return F.struct(F.when(found, _drop_last(s["all"], F.lit(2))).otherwise(s["all"]).alias("first"), F.when(found, F.array(s["phrase"])).otherwise(none).alias("known"))
+
+    def run(s: Column) -> Column:
+        return F.struct(s["first"].alias("first"), s["known"].alias("known"), _tail_run(F.transform(s["first"], lambda t: _any_of(V.LEGAL_SUFFIXES, t))).alias("run"))
+
+    def tail(s: Column) -> Column:
+        popped = F.transform(F.slice(s["first"], F.greatest(F.size(s["first"]) - s["run"] + 1, F.lit(1)), s["run"]), lambda t: lookup(V.LEGAL_SUFFIXES, t))
+        # From the right each new canonical goes to the front, so of repeats the rightmost stands.
+        return F.struct(F.concat(F.array_except(F.reverse(F.array_distinct(F.reverse(popped))), s["known"]), s["known"]).alias("tail"), _drop_last(s["first"], s["run"]).alias("rest"))
+
+    def lead(s: Column) -> Column:
+        n = F.least(_head_run(F.transform(s["rest"], lambda t: _any_of(V.LEGAL_PREFIXES, t))), F.greatest(F.size(s["rest"]) - 1, F.lit(0)))
+        return F.struct(s["tail"].alias("tail"), s["rest"].alias("rest"), n.alias("lead"))
+
+    def parts(s: Column) -> Column:
+        heads = F.array_distinct(F.transform(F.slice(s["rest"], F.lit(1), s["lead"]), lambda t: F.coalesce(lookup(V.LEGAL_SUFFIXES, t), t)))
+        core = F.slice(s["rest"], s["lead"] + 1, F.greatest(F.size(s["rest"]) - s["lead"], F.lit(0)))
+        return F.struct(core.alias("core"), F.array_join(F.concat(s["tail"], F.array_except(heads, s["tail"])), " ").alias("suffix"))
+
+    return bound(tokens, phrase, first, run, tail, lead, parts)
 
 
 def name_text(latin: Column) -> Column:
@@ -101,20 +119,27 @@ def with_clean_name(df, raw: str, spelt=transliterate_script):
     """``df`` with name_original, name_clean, name_translit, name_core, legal_suffix."""
     own = F.coalesce(F.col(raw), F.lit(""))
     df = df.withColumn("_trim", F.regexp_replace(own, r"^\s+|\s+$", "")).withColumn("name_translit", spelt(F.col("_trim")))
-    df = df.withColumn("_text", name_text(F.col("name_translit"))).withColumn("_tokens", words(F.col("_text")))
-    df = df.withColumn("_fill", _head_run(F.transform("_tokens", lambda t: _any_of(V.NAME_FILLERS, t))))
-    df = with_legal_suffix(df.withColumn("_tokens", F.slice("_tokens", F.col("_fill") + 1, F.size("_tokens") + 1)), "_tokens")
+
+    def without_fillers(s: Column) -> Column:
+        fill = _head_run(F.transform(s["tokens"], lambda t: _any_of(V.NAME_FILLERS, t)))
+        return F.struct(s["text"].alias("text"), F.slice(s["tokens"], fill + 1, F.size(s["tokens"]) + 1).alias("tokens"))
+
+    parts = bound(
+        name_text(F.col("name_translit")), lambda t: F.struct(t.alias("text"), words(t).alias("tokens")), without_fillers,
+        lambda s: F.struct(F.when(F.size(s["tokens"]) > 0, F.array_join(s["tokens"], " ")).otherwise(s["text"]).alias("clean"), legal_parts(s["tokens"]).alias("legal")),
+    )
+    df = df.withColumn("_name", parts)
     made = {
-        "name_original": F.when(F.col("_trim") == "", own).otherwise(F.col("_trim")), "name_clean": F.when(F.size("_tokens") > 0, F.array_join("_tokens", " ")).otherwise(F.col("_text")),
-        "name_core": F.regexp_replace(F.array_join("_core", " "), r"^[\-\.\s]+|[\-\.\s]+$", ""), "legal_suffix": F.col("_suffix"),
+        "name_original": F.when(F.col("_trim") == "", own).otherwise(F.col("_trim")), "name_clean": F.col("_name.clean"),
+        "name_core": F.regexp_replace(F.array_join("_name.legal.core", " "), r"^[\-\.\s]+|[\-\.\s]+$", ""), "legal_suffix": F.col("_name.legal.suffix"),
     }
-    return df.withColumns(made).drop("_trim", "_text", "_tokens", "_fill", "_core", "_suffix")
+    return df.withColumns(made).drop("_trim", "_name")
 
 
 def expand_streets(c: Column) -> Column:
     def one(t: Column) -> Column:
         full = lookup(V.STREETS, F.lower(F.regexp_replace(t, ",+$", "")))
-        return F.when(full.isNotNull(), F.concat(full, F.when(t.endswith(","), F.lit(",")).otherwise(F.lit("")))).otherwise(t)
+        return F.coalesce(F.concat(full, F.when(t.endswith(","), F.lit(",")).otherwise(F.lit(""))), t)
 
     return F.array_join(F.transform(words(c), one), " ")
 
@@ -144,39 +169,59 @@ def postal_split(text: Column, country: Column) -> Column:
     return case.otherwise(F.struct(text.alias("rest"), F.lit("").alias("code")))
 
 
-def address_text(raw: Column, spelt=transliterate_script) -> Column:
-    """The address after all cleaning, before it is taken apart."""
-    latin = spelt(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
+def address_text(latin: Column) -> Column:
+    """A transliterated address after all cleaning, before it is taken apart."""
     text = strip_brackets(strip_urls(strip_nulls(latin)))
     text = conjunctions(F.regexp_replace(F.regexp_replace(text, V.LANDMARK, ""), V.HOUSE, ""))
     return squeeze(expand_streets(F.regexp_replace(text, r"[^\w\s,\.\-/#]", " ")))
 
 
+def address_parts(latin: Column, country: Column) -> Column:
+    """struct<clean, city, state, code> of a transliterated address."""
+
+    def cut(s: Column) -> Column:
+        parts = lambda rest: F.filter(F.transform(F.split(rest, ","), lambda p: F.trim(p)), lambda p: p != "")
+        return let(postal_split(s["text"], s["land"]), lambda p: F.struct(parts(p["rest"]).alias("parts"), p["code"].alias("code"), s["land"].alias("land")))
+
+    def states(s: Column) -> Column:
+        return F.struct(s["parts"].alias("parts"), s["code"].alias("code"), F.transform(s["parts"], lambda p: state_of(p, s["land"])).alias("states"))
+
+    def place(s: Column) -> Column:
+        first = F.array_position(F.transform(s["states"], lambda x: x.isNotNull()), True).cast("int")
+        at = F.when(F.get(s["states"], F.size(s["states"]) - 1).isNotNull(), F.size(s["states"])).otherwise(first)
+        return F.struct(s["parts"].alias("parts"), s["code"].alias("code"), s["states"].alias("states"), at.alias("at"))
+
+    def apart(s: Column) -> Column:
+        found = s["at"] > 0
+        left = F.when(found, F.concat(F.slice(s["parts"], F.lit(1), s["at"] - 1), F.slice(s["parts"], s["at"] + 1, F.size(s["parts"])))).otherwise(s["parts"])
+        return F.struct(left.alias("left"), s["code"].alias("code"), F.when(found, F.get(s["states"], s["at"] - 1)).otherwise(F.lit("")).alias("state"))
+
+    def trimmed(s: Column) -> Column:
+        same = F.when(s["state"] != "", _tail_run(F.transform(s["left"], lambda p: F.lower(p) == s["state"]))).otherwise(F.lit(0))
+        return F.struct(_drop_last(s["left"], same).alias("left"), s["code"].alias("code"), s["state"].alias("state"))
+
+    def unnumbered(s: Column) -> Column:
+        left = _drop_last(s["left"], _tail_run(F.transform(s["left"], lambda p: p.rlike(r"^\d+$"))))
+        return let(left, lambda a: F.struct(a.alias("left"), F.get(a, F.size(a) - 1).alias("city"), s["code"].alias("code"), s["state"].alias("state")))
+
+    def finished(s: Column) -> Column:
+        named = F.length(s["city"]) > 1
+        kept = F.when(named, _drop_last(s["left"], F.lit(1))).otherwise(s["left"])
+        tidy = F.regexp_replace(squeeze(F.array_join(kept, ", ")), r"^[,.\s]+|[,.\s]+$", "")
+        return F.struct(tidy.alias("clean"), F.when(named, s["city"]).otherwise(F.lit("")).alias("city"), s["state"].alias("state"), s["code"].alias("code"))
+
+    return bound(F.struct(address_text(latin).alias("text"), country.alias("land")), cut, states, place, apart, trimmed, unnumbered, finished)
+
+
 def with_clean_address(df, raw: str, country: str, spelt=transliterate_script):
-    """``df`` with addr_original, addr_clean, addr_translit, addr_city, addr_state, addr_postal_code; in steps, so that no part is worked out twice."""
+    """``df`` with addr_original, addr_clean, addr_translit, addr_city, addr_state, addr_postal_code."""
     own = F.coalesce(F.col(raw), F.lit(""))
     land = F.lower(F.trim(F.coalesce(F.col(country), F.lit(""))))
     trimmed = F.regexp_replace(own, r"^\s+|\s+$", "")
-    df = df.withColumns({"_land": land, "_text": address_text(own, spelt), "addr_original": F.when(trimmed == "", own).otherwise(trimmed), "addr_translit": spelt(trimmed)})
-    df = df.withColumn("_cut", postal_split(F.col("_text"), F.col("_land")))
-    parts = F.filter(F.transform(F.split(F.col("_cut.rest"), ","), lambda p: F.trim(p)), lambda p: p != "")
-    df = df.withColumn("_parts", parts).withColumn("_states", F.transform("_parts", lambda p: state_of(p, F.col("_land"))))
-    last = F.get("_states", F.size("_states") - 1)
-    first = F.array_position(F.transform("_states", lambda s: s.isNotNull()), True).cast("int")
-    df = df.withColumn("_at", F.when(last.isNotNull(), F.size("_states")).otherwise(first))
-    df = df.withColumn("addr_state", F.when(F.col("_at") > 0, F.get("_states", F.col("_at") - 1)).otherwise(F.lit("")))
-    left = F.when(F.col("_at") > 0, F.concat(F.slice("_parts", F.lit(1), F.col("_at") - 1), F.slice("_parts", F.col("_at") + 1, F.size("_parts")))).otherwise(F.col("_parts"))
-    df = df.withColumn("_left", left)
-    state = F.col("addr_state")
-    same = F.when(state != "", _tail_run(F.transform("_left", lambda p: F.lower(p) == state))).otherwise(F.lit(0))
-    df = df.withColumn("_left", _drop_last(F.col("_left"), same))
-    df = df.withColumn("_left", _drop_last(F.col("_left"), _tail_run(F.transform("_left", lambda p: p.rlike(r"^\d+$")))))
-    city = F.get("_left", F.size("_left") - 1)
-    named = F.length(city) > 1
-    df = df.withColumn("addr_city", F.when(named, city).otherwise(F.lit("")))
-    kept = F.when(named, _drop_last(F.col("_left"), F.lit(1))).otherwise(F.col("_left"))
-    tidy = F.regexp_replace(squeeze(F.array_join(kept, ", ")), r"^[,.\s]+|[,.\s]+$", "")
-    return df.withColumns({"addr_clean": tidy, "addr_postal_code": F.col("_cut.code")}).drop("_land", "_text", "_cut", "_parts", "_states", "_at", "_left")
+    df = df.withColumn("_own", trimmed).withColumn("addr_translit", spelt(F.col("_own")))
+    df = df.withColumn("_addr", address_parts(F.col("addr_translit"), land))
+    made = {"addr_original": F.when(F.col("_own") == "", own).otherwise(F.col("_own")), "addr_clean": F.col("_addr.clean"), "addr_city": F.col("_addr.city"), "addr_state": F.col("_addr.state"), "addr_postal_code": F.col("_addr.code")}
+    return df.withColumns(made).drop("_own", "_addr")
 
 
 CLEAN = "entity_id country business_name business_address name_original name_clean name_translit name_core legal_suffix addr_original addr_clean addr_translit addr_city addr_state addr_postal_code".split()

@@ -34,7 +34,7 @@ def match_name(name: Column) -> Column:
     """Lower case without URLs, punctuation, one legal suffix (as a string, without regard to words) and one honorific."""
     text = F.lower(_composed(F.coalesce(name, F.lit(""))))
     text = F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and "))
-    text = F.regexp_replace(text, rf"https?://\S+|www\.\S+|\S+\.(?:com|org|net|co\.in){_EDGE}", "")
+    text = F.regexp_replace(text, V.MATCH_URL.replace(r"\b", _EDGE), "")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")
     return _strip_affixes(text)
 

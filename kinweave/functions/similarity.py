@@ -1,7 +1,8 @@
-"""Pair features. Set features are Catalyst expressions; Jaro-Winkler and the subsequence ratios, which Spark lacks, are one Arrow kernel with a short circuit."""
+"""Pair features. Set features are Catalyst expressions; Jaro-Winkler and common subsequences, which Spark lacks, are one Arrow kernel over blocks of pairs, with a short circuit."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,26 +10,39 @@ from pyspark.sql import types as T
 
 from kinweave import values as V
 from kinweave.functions import match as M
+from kinweave.functions.block import let
+
+#: Strings up to this length go through the kernels by whole blocks of pairs, longer ones pair by pair.
+WIDTH, BLOCK = 64, 2048
 
 
 def jaro_winkler(a: str, b: str) -> float:
+    """Of one pair, in time linear in the strings' lengths: for each character the places in ``b`` are used from left to right, so one pointer each is enough."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     window = max(0, max(len(a), len(b)) // 2 - 1)
-    used, left = [False] * len(b), []
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    next_of, used, left = dict.fromkeys(places, 0), [], []
     for i, c in enumerate(a):
-        j = b.find(c, max(0, i - window), i + window + 1)
-        while j >= 0 and used[j]:
-            j = b.find(c, j + 1, i + window + 1)
-        if j >= 0:
-            used[j] = True
+        own = places.get(c)
+        if own is None:
+            continue
+        k = next_of[c]
+        while k < len(own) and own[k] < i - window:
+            k += 1
+        if k < len(own) and own[k] <= i + window:
+            used.append(own[k])
             left.append(c)
+            k += 1
+        next_of[c] = k
     m = len(left)
     if not m:
         return 0.0
-    swaps = sum(x != y for x, y in zip(left, (c for c, u in zip(b, used, strict=True) if u), strict=True)) // 2
+    swaps = sum(x != b[j] for x, j in zip(left, sorted(used), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if jaro <= 0.7:
         return jaro
@@ -51,45 +65,119 @@ def subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    return 2 * subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
-
-
-def token_sort(a: str, b: str) -> float:
-    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def token_set(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, only_x, only_y = x & y, x - y, y - x
-    if both and (not only_x or not only_y):
-        return 1.0
-    common, left, right = (" ".join(sorted(s)) for s in (both, only_x, only_y))
-    gap = 1 if common else 0
-    n_left, n_right = len(common) + gap + len(left), len(common) + gap + len(right)
-    indel = len(left) + len(right) - 2 * subsequence(left, right)
-    best = 1 - indel / (n_left + n_right)
-    if common:
-        best = max(best, 1 - (gap + len(left)) / (len(common) + n_left), 1 - (gap + len(right)) / (len(common) + n_right))
-    return best
-
-
-_TEXTUAL = ["name_jw", "addr_jw", "ratio", "name_sort", "name_set", "ascii_jw", "addr_sort"]
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in _TEXTUAL]))
-def textual(n1: pd.Series, n2: pd.Series, g1: pd.Series, g2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
-    """The kernels of a batch of pairs: names, names in ASCII, addresses. Pairs that are far apart in both get Jaro-Winkler only."""
-    rows = []
-    for p, q, g, h, x, y in zip(n1, n2, g1, g2, a1, a2, strict=True):
-        name, addr = jaro_winkler(p, q), jaro_winkler(x, y)
-        if name < V.SHORT_CIRCUIT and addr < V.SHORT_CIRCUIT:
-            rows.append((name, addr, 0.0, 0.0, 0.0, 0.0, 0.0))
-        else:
-            rows.append((name, addr, indel_ratio(p, q), token_sort(p, q), token_set(p, q), jaro_winkler(g, h), token_sort(x, y)))
-    return pd.DataFrame(rows, columns=_TEXTUAL)
+def _codes(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Code points, a row per text, padded with zeros; in 16 bits if they fit."""
+    width = max(1, int(sizes.max(initial=1)))
+    codes = np.array(texts, f"<U{width}").view(np.uint32).reshape(len(texts), width)
+    return codes.astype(np.uint16) if codes.max(initial=0) < 1 << 16 else codes
+
+
+def _jaro_winkler_block(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    rows, at = np.arange(len(a)), np.arange(b.shape[1], dtype=np.int8)
+    window = np.maximum(0, np.maximum(m, n) // 2 - 1).astype(np.int8)[:, None]
+    real = at < n[:, None]
+    free, taken = real.copy(), np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        fits = b == a[:, i, None]
+        fits &= free
+        fits &= np.abs(at - np.int8(i)) <= window
+        j = fits.argmax(1)
+        hit = fits[rows, j] & (i < m)
+        free[rows[hit], j[hit]] = False
+        taken[:, i] = hit
+    # Both sides' matched characters in row order stand in step.
+    r, k = np.nonzero(taken)
+    s, l = np.nonzero(real & ~free)
+    matched = taken.sum(1)
+    swaps = np.bincount(r, a[r, k] != b[s, l], len(a)) // 2
+    found = np.maximum(matched, 1)
+    jaro = np.where(matched > 0, (matched / np.maximum(m, 1) + matched / np.maximum(n, 1) + (matched - swaps) / found) / 3, 0.0)
+    w = min(4, a.shape[1], b.shape[1])
+    same = (a[:, :w] == b[:, :w]) & (np.arange(w) < np.minimum(m, n)[:, None])
+    return np.where(jaro > 0.7, jaro + 0.1 * np.cumprod(same, 1).sum(1) * (1 - jaro), jaro)
+
+
+def _subsequence_block(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bit-parallel over 64-bit rows, one for each pair. Columns beyond ``m`` never match, so their bits stay set and are taken off at the end."""
+    masks = np.zeros(b.shape, np.uint64)
+    for k in range(a.shape[1]):
+        masks |= ((b == a[:, k, None]) & (k < m)[:, None]).astype(np.uint64) << np.uint64(k)
+    row = np.full(len(a), ~np.uint64(0))
+    for j in range(b.shape[1]):
+        hit = np.where(j < n, row & masks[:, j], np.uint64(0))
+        row = (row + hit) | (row - hit)
+    full = np.where(m >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(m, 63).astype(np.uint64)) - np.uint64(1))
+    return m - np.bitwise_count(row & full).astype(np.int64)
+
+
+def _pairwise(a: list[str], b: list[str], block, single, kind) -> np.ndarray:
+    """``single`` of every pair, by blocks of pairs of like length where both strings are short enough."""
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(a), kind)
+    longest = np.maximum(m, n)
+    for k in np.flatnonzero(longest > WIDTH):
+        out[k] = single(a[k], b[k])
+    short = np.flatnonzero((longest <= WIDTH) & (m > 0) & (n > 0))
+    short = short[np.argsort(longest[short], kind="stable")]
+    for at in range(0, len(short), BLOCK):
+        own = short[at : at + BLOCK]
+        x, y = [a[k] for k in own], [b[k] for k in own]
+        out[own] = block(_codes(x, m[own]), m[own], _codes(y, n[own]), n[own])
+    return out
+
+
+def jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    return _pairwise(a, b, _jaro_winkler_block, jaro_winkler, np.float64)
+
+
+def subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    return _pairwise(a, b, _subsequence_block, subsequence, np.int64)
+
+
+_KERNELS = ["name_jw", "addr_jw", "ascii_jw", "name_lcs", "sort_lcs", "set_lcs", "addr_lcs"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in _KERNELS]))
+def kernels(n1: pd.Series, n2: pd.Series, x1: pd.Series, x2: pd.Series, g1: pd.Series, g2: pd.Series, s1: pd.Series, s2: pd.Series, o1: pd.Series, o2: pd.Series, t1: pd.Series, t2: pd.Series) -> pd.DataFrame:
+    """What Spark lacks, for a batch of pairs: Jaro-Winkler of names, addresses and ASCII names; common subsequences of names, sorted names, the words that only
+    one name has, and sorted addresses. Pairs that are far apart in both get the first two only."""
+    out = pd.DataFrame(0.0, index=range(len(n1)), columns=_KERNELS)
+    out["name_jw"], out["addr_jw"] = jaro_winklers(n1.tolist(), n2.tolist()), jaro_winklers(x1.tolist(), x2.tolist())
+    near = np.flatnonzero((out["name_jw"] >= V.SHORT_CIRCUIT) | (out["addr_jw"] >= V.SHORT_CIRCUIT))
+    for name, f, a, b in (("ascii_jw", jaro_winklers, g1, g2), ("name_lcs", subsequences, n1, n2), ("sort_lcs", subsequences, s1, s2), ("set_lcs", subsequences, o1, o2), ("addr_lcs", subsequences, t1, t2)):
+        values = np.zeros(len(out))
+        values[near] = f(a.iloc[near].tolist(), b.iloc[near].tolist())
+        out[name] = values
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def jaro_winkler_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(jaro_winklers(a.tolist(), b.tolist()))
+
+
+def indel_ratio(lcs: Column, a: Column, b: Column) -> Column:
+    both = F.length(a) + F.length(b)
+    return F.when(both > 0, 2 * lcs / both).otherwise(F.lit(1.0))
+
+
+def token_set(lcs: Column, x: Column, y: Column, only_x: Column, only_y: Column) -> Column:
+    """Of two arrays of words as sets, with what only one side has as sorted, joined words and their common subsequence."""
+    shared = F.array_intersect(x, y)
+
+    def of(common: Column) -> Column:
+        gap = (common > 0).cast("int")
+        left, right = common + gap + F.length(only_x), common + gap + F.length(only_y)
+        best = 1 - (F.length(only_x) + F.length(only_y) - 2 * lcs) / (left + right)
+        more = F.greatest(best, 1 - (gap + F.length(only_x)) / (common + left), 1 - (gap + F.length(only_y)) / (common + right))
+        one = (common > 0) & ((only_x == "") | (only_y == ""))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(one, F.lit(1.0)).when(common > 0, more).otherwise(best)
+
+    return let(F.length(F.array_join(shared, " ")), of)
+
+
+def _sorted(words: Column) -> Column:
+    return F.array_join(F.array_sort(words), " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -124,6 +212,7 @@ def normalised(entities: DataFrame) -> DataFrame:
     df = df.withColumns({"g_name": M.match_name_ascii(F.col("n_name")), "x_addr": M.match_address(M.expand_address(F.col("addr"), F.col("country")))})
     return df.select(
         "entity_id", "n_name", "g_name", "n_addr", "x_addr", F.lower(F.trim("country")).alias("land"), M.tokens(F.col("n_name")).alias("name_tokens"), M.tokens(F.col("x_addr")).alias("addr_tokens"),
+        _sorted(M.tokens(F.col("n_name"))).alias("sorted_name"), _sorted(M.tokens(F.col("x_addr"))).alias("sorted_addr"),
         M.numbers(F.col("addr")).alias("numbers"), M.postal_code(F.col("addr"), F.col("country")).alias("postal"), soundex_codes(F.col("g_name")).alias("sounds"),
     )
 
@@ -136,8 +225,11 @@ def pair_features(pairs: DataFrame, s1: DataFrame, others: DataFrame) -> DataFra
     side = lambda df, k: df.select([F.col(c).alias(f"{c}_{k}") for c in df.columns])
     df = pairs.join(side(s1, 1), F.col("s1_id") == F.col("entity_id_1"), "left").join(side(others, 2), F.col("cand_id") == F.col("entity_id_2"), "left").drop("entity_id_1", "entity_id_2")
     df = df.withColumns({c: F.coalesce(F.col(c), _EMPTY[t]()) for c, t in df.dtypes if c[-2:] in ("_1", "_2") and t in _EMPTY})
-    df = df.withColumn("t", textual("n_name_1", "n_name_2", "g_name_1", "g_name_2", "x_addr_1", "x_addr_2"))
     two = lambda f, c: f(F.col(f"{c}_1"), F.col(f"{c}_2"))
+    df = df.withColumns({f"only_{a}": _sorted(F.array_except(f"name_tokens_{a}", f"name_tokens_{b}")) for a, b in ((1, 2), (2, 1))})
+    df = df.withColumn("t", kernels(*[f"{c}_{k}" for c in ("n_name", "x_addr", "g_name", "sorted_name", "only", "sorted_addr") for k in (1, 2)]))
+    ratio = lambda lcs, c: indel_ratio(F.col(f"t.{lcs}"), F.col(f"{c}_1"), F.col(f"{c}_2"))
+    name_sort, addr_sort = ratio("sort_lcs", "sorted_name"), ratio("addr_lcs", "sorted_addr")
     yes = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     jw, aw = F.col("t.name_jw"), F.col("t.addr_jw")
     short = (jw < V.SHORT_CIRCUIT) & (aw < V.SHORT_CIRCUIT)
@@ -147,10 +239,10 @@ def pair_features(pairs: DataFrame, s1: DataFrame, others: DataFrame) -> DataFra
         "geo_mean_name_addr": F.sqrt(jw * aw), "min_name_addr_sim": F.least(jw, aw), "max_name_addr_sim": F.greatest(jw, aw),
     }
     near = far | {
-        "name_levenshtein": F.col("t.ratio"), "name_jaccard": two(jaccard, "name_tokens"), "name_token_sort": F.col("t.name_sort"), "name_token_set": F.col("t.name_set"),
+        "name_levenshtein": ratio("name_lcs", "n_name"), "name_jaccard": two(jaccard, "name_tokens"), "name_token_sort": name_sort, "name_token_set": token_set(F.col("t.set_lcs"), F.col("name_tokens_1"), F.col("name_tokens_2"), F.col("only_1"), F.col("only_2")),
         "name_containment": two(containment, "name_tokens"), "name_exact": yes((F.col("n_name_1") == F.col("n_name_2")) & (F.col("n_name_1") != "")), "name_length_ratio": two(length_ratio, "n_name"),
-        "name_aggressive_jw": F.col("t.ascii_jw"), "name_soundex_overlap": two(jaccard, "sounds"), "addr_jaccard": two(jaccard, "addr_tokens"), "addr_token_sort": F.col("t.addr_sort"),
+        "name_aggressive_jw": F.col("t.ascii_jw"), "name_soundex_overlap": two(jaccard, "sounds"), "addr_jaccard": two(jaccard, "addr_tokens"), "addr_token_sort": addr_sort,
         "addr_number_overlap": two(jaccard, "numbers"), "addr_postal_match": two(postal_match, "postal"), "addr_length_ratio": two(length_ratio, "x_addr"), "addr_containment": two(containment, "addr_tokens"),
-        "min_name_addr_sim": F.least(F.col("t.name_sort"), F.col("t.addr_sort")), "max_name_addr_sim": F.greatest(F.col("t.name_sort"), F.col("t.addr_sort")),
+        "min_name_addr_sim": F.least(name_sort, addr_sort), "max_name_addr_sim": F.greatest(name_sort, addr_sort),
     }
     return df.select("s1_id", "cand_id", *[F.when(short, far.get(f, F.lit(0.0))).otherwise(near[f]).cast("float").alias(f) for f in V.FEATURES])

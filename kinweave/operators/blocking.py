@@ -17,7 +17,7 @@ from kinweave.functions import block as B
 
 @dataclass(frozen=True)
 class Profile:
-    """Caps, weights' limits and budgets; the defaults suit millions of records, ``SMALL`` suits test tables."""
+    """Caps, weights' limits and budgets; the defaults are the method's own, for millions of records; ``SMALL`` is for tests on small tables."""
 
     caps: dict = field(default_factory=lambda: {"name": V.NAME_CAP, "prefix": V.PREFIX_CAP, "addr": V.ADDR_CAP, "num": V.NUM_CAP, "gram": V.GRAM_CAP})
     rare: int = V.RARE_DF
@@ -56,16 +56,36 @@ def capped(df: DataFrame, profile: Profile) -> DataFrame:
     return df.where(F.col("df") <= limit)
 
 
-def pair_scores(queries: DataFrame, targets: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """s1_id, cand_id with sa, sb, hits, postal, composite and score, boosts included."""
-    postings = token_table(targets)
+@dataclass
+class Index:
+    """The target side, worked out once: capped postings with their document frequency, and capped 3-grams."""
+
+    postings: DataFrame
+    grams: DataFrame
+
+
+def index(targets: DataFrame, profile: Profile = Profile(), keep=lambda df: df) -> Index:
+    """``keep`` may write what it is given and read it back (``sinks.stored``), for targets that are asked more than once."""
     keys = ["country", "channel", "token"]
-    kept = postings.join(capped(document_frequency(postings), profile), keys).withColumnRenamed("entity_id", "cand_id").withColumnRenamed("tf", "t_tf")
+    postings = token_table(targets)
+    kept = postings.join(capped(document_frequency(postings), profile), keys)
+    grams = gram_table(targets)
+    rare = grams.groupBy("country", "token").count().where(F.col("count") <= profile.caps["gram"]).select("country", "token")
+    kept = kept.select(*keys, F.col("entity_id").alias("cand_id"), F.col("tf").alias("t_tf"), "df")
+    return Index(keep(kept), keep(grams.join(rare, ["country", "token"]).select("country", "token", F.col("entity_id").alias("cand_id"))))
+
+
+def pair_scores(queries: DataFrame, targets: DataFrame | Index, profile: Profile = Profile()) -> DataFrame:
+    """s1_id, cand_id with sa, sb, hits, postal, composite and score, boosts included.
+
+    The target side of a key is bounded by its cap, the query side is not: keys that many queries share are left to AQE, which splits skewed partitions of the join.
+    """
+    kept = (targets if isinstance(targets, Index) else index(targets, profile)).postings
     asked = token_table(queries, query=True).withColumnRenamed("entity_id", "s1_id")
     n, name = F.col("tf") * F.col("t_tf"), F.col("channel") == "name"
     weight = F.when(name, F.when(F.col("df") <= profile.rare, V.W_RARE).when(F.col("df") <= profile.medium, V.W_NAME).otherwise(V.W_COMMON)).when(F.col("channel") == "prefix", V.W_PREFIX).when(F.col("channel") == "addr", V.W_ADDR).otherwise(V.W_NUM)
     first = F.col("channel").isin("name", "prefix")
-    pairs = asked.join(kept, keys).groupBy("s1_id", "cand_id").agg(
+    pairs = asked.join(kept, ["country", "channel", "token"]).groupBy("s1_id", "cand_id").agg(
         F.sum(F.when(first, n * weight).otherwise(0)).alias("sa"), F.sum(F.when(~first, n * weight).otherwise(0)).alias("sb"),
         F.sum(F.when(name, n).otherwise(0)).alias("hits"), F.max(F.col("channel") == "num").alias("postal"),
     )
@@ -85,14 +105,12 @@ def gram_table(entities: DataFrame) -> DataFrame:
     return df.select(F.trim("country").alias("country"), "entity_id", F.explode(B.name_grams(F.col("name"))).alias("token"))
 
 
-def fallback(queries: DataFrame, targets: DataFrame, scored: DataFrame, profile: Profile = Profile()) -> DataFrame:
+def fallback(queries: DataFrame, targets: DataFrame | Index, scored: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """s1_id, cand_id, gram_score: by shared 3-grams, for queries with few candidates by name only."""
+    kept = (targets if isinstance(targets, Index) else index(targets, profile)).grams
     named = scored.where("sa > 0")
     many = named.groupBy("s1_id").count().where(F.col("count") >= profile.trigger).select(F.col("s1_id").alias("entity_id"))
     asked = gram_table(queries.join(many, "entity_id", "left_anti")).withColumnRenamed("entity_id", "s1_id")
-    postings = gram_table(targets)
-    rare = postings.groupBy("country", "token").count().where(F.col("count") <= profile.caps["gram"]).select("country", "token")
-    kept = postings.join(rare, ["country", "token"]).withColumnRenamed("entity_id", "cand_id")
     shared = asked.join(kept, ["country", "token"]).groupBy("s1_id", "cand_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     shared = shared.join(named.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").withColumn("gram_score", F.col("n") * V.W_GRAM)
     best = Window.partitionBy("s1_id").orderBy(F.desc("gram_score"), "cand_id")
@@ -122,16 +140,22 @@ def budgeted(pairs: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return df.where(keep).drop("n", "good", "by_source", "quota", "taken", "by_rest")
 
 
-def candidates(queries: DataFrame, targets: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """The whole retrieval: channels, boosts, 3-gram fallback and budget."""
-    scored = pair_scores(queries, targets, profile)
+def candidates(queries: DataFrame, targets: DataFrame | Index, profile: Profile = Profile(), keep=lambda df: df) -> DataFrame:
+    """The whole retrieval: channels, boosts, 3-gram fallback and budget. The scored pairs are used three times, so ``keep`` should write them (``sinks.stored``)."""
+    if not isinstance(targets, Index):
+        targets = index(targets, profile)
+    scored = keep(pair_scores(queries, targets, profile))
     return budgeted(with_fallback(scored, fallback(queries, targets, scored, profile)), profile)
 
 
+def place(cand_id):
+    """Sorts a query's candidates: source three first by falling number, then source two by rising number."""
+    number = F.split(cand_id, "-")[1].cast("long")
+    return F.when(F.substring(cand_id, 1, 2) == "S3", -number).otherwise(number)
+
+
 def candidate_lists(queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per query, with an empty list where it has no candidate: source three first by falling number, then source two by rising number."""
-    number = F.split("cand_id", "-")[1].cast("long")
-    place = F.when(F.substring("cand_id", 1, 2) == "S3", -number).otherwise(number)
-    lists = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "cand_id"))).alias("c"))
+    """One row per query, with an empty list where it has no candidate; see ``place`` for the order. A list holds at most the budget."""
+    lists = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct(place("cand_id").alias("place"), "cand_id"))).alias("c"))
     ids = F.array_join(F.transform("c", lambda c: c["cand_id"]), ",")
     return queries.select(F.col("entity_id").alias("source1_entity_id")).join(lists, F.col("source1_entity_id") == F.col("s1_id"), "left").select("source1_entity_id", F.coalesce(ids, F.lit("")).alias("candidate_entity_ids"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave import values as V
+from kinweave.sources.sinks import shared_path
 
 #: The random-negative and the hard-negative trainers, with the rounds and depth of the method.
 BASELINE = {"maxIter": 600, "maxDepth": 8, "stepSize": 0.08, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
@@ -29,7 +29,7 @@ def train(features: DataFrame, params: dict = PRODUCTION, seed: int = 42, valida
     spark = features.sparkSession
     # Hundreds of rounds need their lineage cut.
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
+        spark.sparkContext.setCheckpointDir(shared_path(spark))
     counts = features.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).first()
     ratio = (counts["n"] - counts["p"]) / counts["p"] if counts["p"] else 1.0
     rows = lambda df: _vectors(df).select("features", F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)).alias("weight"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, wraps
-from inspect import signature
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,27 +12,34 @@ from kinweave.functions import block as B
 from kinweave.functions import clean as C
 from kinweave.functions import match as M
 from kinweave.functions import similarity as S
+from kinweave.functions.block import squeeze
 from kinweave.functions.fold import transliterate
 from kinweave.operators import blocking, evaluate, model, sampling, validate
 from kinweave.sources import sinks, tables
+from kinweave.sources.sinks import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-#: The SQL counterparts are written for SMALL's caps and budgets and for the first characters of a text; FULL has the method's own and reads whole texts.
-SMALL, FULL = blocking.SMALL, blocking.Profile()
+#: SQL with marks such as @rare@ where the profile's constants stand.
+TEMPLATES: dict[str, str] = {}
+FULL = blocking.Profile()
+
+
+def filled(sql: str, p: blocking.Profile = FULL) -> str:
+    """A template's SQL for one profile."""
+    constants = {f"cap_{k}": v for k, v in p.caps.items()} | {k: getattr(p, k) for k in ("rare", "medium", "base", "most", "trigger", "add")}
+    for k, v in constants.items():
+        sql = sql.replace(f"@{k}@", str(v))
+    return sql
 
 
 def query(sql: str | None = None):
-    """Registers a query. One with a profile ``p`` runs with FULL; if it has SQL, its own name stays at the SQL's constants and FULL runs as NAME_full."""
+    """Registers a query, and its SQL with the method's own caps and budgets."""
 
     def add(f):
-        name, scaled = f.__name__, "p" in signature(f).parameters
-        whole = wraps(f)(partial(f, p=FULL)) if scaled else f
-        QUERIES[name] = f if sql else whole
+        QUERIES[f.__name__] = f
         if sql:
-            ORACLES[name] = sql
-            if scaled:
-                QUERIES[f"{name}_full"] = whole
+            TEMPLATES[f.__name__], ORACLES[f.__name__] = sql, filled(sql)
         return f
 
     return add
@@ -63,7 +69,10 @@ def _names(x: str) -> str:
     return f"CASE WHEN {_norm(_latin(x))} NOT IN ('', {_norm(x)}) THEN list_distinct(list_concat({own}, {other})) ELSE {own} END"
 
 
-ENT = "ent AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, substr(text, 1, 60) AS name, substr(text, 61, 100) AS addr, lang AS country FROM documents)"
+ENT = rf"""ent AS (SELECT 'S' || (page_id % 3 + 1) || '-' || page_id AS entity_id, regexp_extract(html, '{tables.TITLE}', 1) AS name,
+  trim(regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g')) || ' St. ' || (10000 + page_id % 97) AS addr, coalesce({_case(tables.LANDS, f"regexp_extract(url, '{tables.LANG}', 1)")}, '') AS country FROM pages)"""
+#: Whole documents, for the queries that show a normaliser alone.
+DOC = "ent AS (SELECT doc_id AS entity_id, text AS name, text AS addr, lang AS country FROM documents)"
 TOK = f"""{ENT},
 tok AS (SELECT entity_id, country, addr, name, {_names('name')} AS names,
   list_filter(string_split({_norm('addr')}, ' '), lambda t: length(t) >= 3 AND t NOT IN {_in(V.ADDR_STOPS)}) AS addrs,
@@ -76,13 +85,14 @@ POST = f"""{TOK},
 bags AS (SELECT country, entity_id, 'name' AS channel, unnest(names) AS token FROM pre
   UNION ALL SELECT country, entity_id, 'prefix', unnest(CASE WHEN entity_id LIKE 'S1-%' THEN prefixes ELSE list_distinct(prefixes) END) FROM pre
   UNION ALL SELECT country, entity_id, 'addr', unnest(addrs) FROM pre UNION ALL SELECT country, entity_id, 'num', unnest(nums) FROM pre),
-tf AS (SELECT country, entity_id, channel, token, count(*) AS tf FROM bags GROUP BY ALL),
+tf AS (SELECT country, entity_id, channel, token, count(*) AS tf FROM bags WHERE trim(country) <> '' GROUP BY ALL),
 df AS (SELECT country, channel, token, CAST(sum(tf) AS BIGINT) AS df FROM tf WHERE entity_id NOT LIKE 'S1-%' GROUP BY ALL)"""
-_CAPS = "CASE channel " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SMALL.caps.items()) + " END"
+_CAPS = "CASE channel " + " ".join(f"WHEN '{k}' THEN @cap_{k}@" for k in FULL.caps) + " END"
+TOKD = TOK.replace(ENT, DOC)
 PAIRS = f"""{POST},
 cap AS (SELECT * FROM df WHERE df <= {_CAPS}),
 hit AS (SELECT q.entity_id AS s1_id, t.entity_id AS cand_id, q.channel, q.tf * t.tf AS n, CASE q.channel
-    WHEN 'name' THEN CASE WHEN df <= {SMALL.rare} THEN {V.W_RARE} WHEN df <= {SMALL.medium} THEN {V.W_NAME} ELSE {V.W_COMMON} END
+    WHEN 'name' THEN CASE WHEN df <= @rare@ THEN {V.W_RARE} WHEN df <= @medium@ THEN {V.W_NAME} ELSE {V.W_COMMON} END
     WHEN 'prefix' THEN {V.W_PREFIX} WHEN 'addr' THEN {V.W_ADDR} ELSE {V.W_NUM} END AS w
   FROM tf q JOIN tf t ON q.country = t.country AND q.channel = t.channel AND q.token = t.token JOIN cap ON cap.country = q.country AND cap.channel = q.channel AND cap.token = q.token
   WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%'),
@@ -99,39 +109,43 @@ def _grams(x: str) -> str:
 
 
 FALL = f"""{PAIRS},
-g AS (SELECT DISTINCT country, entity_id, unnest(list_concat({_grams(_norm('name'))}, CASE WHEN {_norm(_latin('name'))} <> {_norm('name')} THEN {_grams(_norm(_latin('name')))} ELSE CAST([] AS VARCHAR[]) END)) AS token FROM ent),
-many AS (SELECT s1_id FROM scored WHERE sa > 0 GROUP BY s1_id HAVING count(*) >= {SMALL.trigger}),
-gdf AS (SELECT country, token FROM g WHERE entity_id NOT LIKE 'S1-%' GROUP BY ALL HAVING count(*) <= {SMALL.caps['gram']}),
+g AS (SELECT DISTINCT country, entity_id, unnest(list_concat({_grams(_norm('name'))}, CASE WHEN {_norm(_latin('name'))} <> {_norm('name')} THEN {_grams(_norm(_latin('name')))} ELSE CAST([] AS VARCHAR[]) END)) AS token FROM ent WHERE trim(country) <> ''),
+many AS (SELECT s1_id FROM scored WHERE sa > 0 GROUP BY s1_id HAVING count(*) >= @trigger@),
+gdf AS (SELECT country, token FROM g WHERE entity_id NOT LIKE 'S1-%' GROUP BY ALL HAVING count(*) <= @cap_gram@),
 share AS (SELECT q.entity_id AS s1_id, t.entity_id AS cand_id, count(*) AS n FROM g q JOIN g t ON q.country = t.country AND q.token = t.token JOIN gdf ON gdf.country = q.country AND gdf.token = q.token
   WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' AND q.entity_id NOT IN (SELECT s1_id FROM many) GROUP BY ALL HAVING count(*) >= 2),
-fall AS (SELECT s1_id, cand_id, n * {V.W_GRAM} AS gram_score FROM (SELECT share.*, row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, cand_id) AS k FROM share ANTI JOIN (SELECT * FROM scored WHERE sa > 0) USING (s1_id, cand_id)) WHERE k <= {SMALL.add})"""
+fall AS (SELECT s1_id, cand_id, n * {V.W_GRAM} AS gram_score FROM (SELECT share.*, row_number() OVER (PARTITION BY s1_id ORDER BY n DESC, cand_id) AS k FROM share ANTI JOIN (SELECT * FROM scored WHERE sa > 0) USING (s1_id, cand_id)) WHERE k <= @add@)"""
 BUDGET = f"""{FALL},
 merged AS (SELECT coalesce(scored.s1_id, fall.s1_id) AS s1_id, coalesce(scored.cand_id, fall.cand_id) AS cand_id, coalesce(sa, 0) AS sa, coalesce(sb, 0) AS sb, coalesce(composite, 0) AS composite,
   CAST(coalesce(score, 0) + coalesce(gram_score, 0) AS BIGINT) AS score FROM scored FULL JOIN fall USING (s1_id, cand_id)),
 m1 AS (SELECT *, substr(cand_id, 1, 2) AS source, count(*) OVER (PARTITION BY s1_id) AS n, sum(CAST(score >= {V.QUALITY} AS INT)) OVER (PARTITION BY s1_id) AS good FROM merged),
-m2 AS (SELECT *, CAST(CASE WHEN good <= {SMALL.base} THEN {SMALL.base} ELSE least(good, {SMALL.most}) END AS BIGINT) AS budget, row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, cand_id) AS by_source FROM m1),
+m2 AS (SELECT *, CAST(CASE WHEN good <= @base@ THEN @base@ ELSE least(good, @most@) END AS BIGINT) AS budget, row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, cand_id) AS by_source FROM m1),
 m3 AS (SELECT *, by_source <= budget // 2 AS quota FROM m2),
 m4 AS (SELECT *, sum(CAST(quota AS INT)) OVER (PARTITION BY s1_id) AS taken, row_number() OVER (PARTITION BY s1_id, quota ORDER BY score DESC, cand_id) AS by_rest FROM m3),
 cand AS (SELECT s1_id, cand_id, source, sa, sb, composite, score, budget FROM m4 WHERE n <= budget OR quota OR by_rest <= budget - taken)"""
 
 
 # ---- Spark building blocks
-def _sources(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> tuple[DataFrame, DataFrame]:
-    return tables.sources(spark, d, whole=p is FULL)
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tables.sources(spark, d)
+
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return tables.entities(spark, d)
 
-def _entities(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
-    return tables.entities(spark, d, whole=p is FULL)
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("name"), F.col("text").alias("addr"), F.col("lang").alias("country"))
 
-def _truth(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
-    q, t = _sources(spark, d, p)
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    q, t = _sources(spark, d)
     key = lambda df, name: df.select(F.col("entity_id").alias(name), "country", B.norm(F.col("name")).alias("key"))
     return key(q, "s1_id").join(key(t, "cand_id"), ["country", "key"]).select("s1_id", "cand_id")
 
 
-def _candidates(spark: SparkSession, d: str, p: blocking.Profile = SMALL) -> DataFrame:
-    return blocking.candidates(*_sources(spark, d, p), p)
+def _candidates(spark: SparkSession, d: str, p: blocking.Profile = FULL) -> DataFrame:
+    return blocking.candidates(*_sources(spark, d), p, stored)
 
 
 def _listed(df: DataFrame, **arrays) -> DataFrame:
@@ -144,8 +158,8 @@ def _sorted(x: str) -> str:
 
 # ---- scans
 @query(f"WITH {ENT} SELECT * FROM ent")
-def scan_entities(spark, d, p=SMALL):
-    return _entities(spark, d, p)
+def scan_entities(spark, d):
+    return _entities(spark, d)
 
 
 @query(f"SELECT c_custkey, CASE WHEN c_mktsegment IS NULL OR c_mktsegment IN {_in(V.NULLS)} THEN '' ELSE c_mktsegment END AS segment, CASE WHEN lower(trim(x)) IN {_in(V.NULLS_FOLDED)} THEN '' ELSE trim(x) END AS safe FROM (SELECT *, CASE c_custkey % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'n/a' WHEN 2 THEN 'None' ELSE ' ' || c_name || ' ' END AS x FROM customer)")
@@ -155,13 +169,13 @@ def scan_null_literals(spark, d):
 
 
 @query(f"WITH {TRUTH} SELECT * FROM truth")
-def ground_truth_exploded(spark, d, p=SMALL):
-    return _truth(spark, d, p)
+def ground_truth_exploded(spark, d):
+    return _truth(spark, d)
 
 
 @query(f"WITH {TRUTH} SELECT entity_id, name FROM ent WHERE entity_id IN (SELECT cand_id FROM truth)")
-def semi_join_needed(spark, d, p=SMALL):
-    return tables.needed(_entities(spark, d, p), _truth(spark, d, p).select(F.col("cand_id").alias("entity_id"))).select("entity_id", "name")
+def semi_join_needed(spark, d):
+    return tables.needed(_entities(spark, d), _truth(spark, d).select(F.col("cand_id").alias("entity_id"))).select("entity_id", "name")
 
 
 @query("SELECT DISTINCT 'C' || c_custkey AS entity_id FROM customer UNION SELECT 'C' || o_custkey FROM orders")
@@ -171,19 +185,19 @@ def known_ids(spark, d):
 
 
 # ---- blocking normaliser
-@query(f"WITH {ENT} SELECT entity_id, {_norm('name')} AS name_norm, {_norm('addr')} AS addr_norm, {_norm(_latin('name'))} AS name_latin FROM ent")
-def norm_block(spark, d, p=SMALL):
-    return _entities(spark, d, p).select("entity_id", B.norm(F.col("name")).alias("name_norm"), B.norm(F.col("addr")).alias("addr_norm"), B.translit_norm(F.col("name")).alias("name_latin"))
+@query(f"WITH {DOC} SELECT entity_id, {_norm('name')} AS name_norm, {_norm('addr')} AS addr_norm, {_norm(_latin('name'))} AS name_latin FROM ent")
+def norm_block(spark, d):
+    return _documents(spark, d).select("entity_id", B.norm(F.col("name")).alias("name_norm"), B.norm(F.col("addr")).alias("addr_norm"), B.translit_norm(F.col("name")).alias("name_latin"))
 
 
-@query(f"WITH {TOK} SELECT entity_id, {_sorted('names')} AS tokens FROM tok")
-def name_tokens(spark, d, p=SMALL):
-    return _listed(_entities(spark, d, p), tokens=B.name_tokens(F.col("name")))
+@query(f"WITH {TOKD} SELECT entity_id, {_sorted('names')} AS tokens FROM tok")
+def name_tokens(spark, d):
+    return _listed(_documents(spark, d), tokens=B.name_tokens(F.col("name")))
 
 
-@query(f"WITH {TOK} SELECT entity_id, {_sorted('addrs')} AS tokens FROM tok")
-def addr_tokens(spark, d, p=SMALL):
-    return _listed(_entities(spark, d, p), tokens=B.addr_tokens(F.col("addr")))
+@query(f"WITH {TOKD} SELECT entity_id, {_sorted('addrs')} AS tokens FROM tok")
+def addr_tokens(spark, d):
+    return _listed(_documents(spark, d), tokens=B.addr_tokens(F.col("addr")))
 
 
 @query(rf"WITH p AS (SELECT page_id AS entity_id, list_filter(string_split({_norm('url')}, ' '), lambda t: length(t) >= 2 AND regexp_matches(t, '[0-9]')) AS nums FROM pages) SELECT entity_id, {_sorted('nums')} AS tokens FROM p")
@@ -192,28 +206,28 @@ def numeric_tokens(spark, d):
     return _listed(pages, tokens=B.numeric_tokens(F.col("url")))
 
 
-@query(f"WITH {ENT} SELECT entity_id, array_to_string({_grams(_norm('name'))}, ' ') AS grams FROM ent")
-def char_trigrams(spark, d, p=SMALL):
-    return _entities(spark, d, p).select("entity_id", F.array_join(B.char_grams(F.col("name")), " ").alias("grams"))
+@query(f"WITH {DOC}, n AS (SELECT entity_id, replace({_norm('name')}, ' ', '') AS solid FROM ent) SELECT entity_id, CASE WHEN solid = '' THEN '' ELSE array_to_string(list_transform(range(1, greatest(1, length(solid) - 2) + 1), lambda i: substr(solid, i, 3)), ' ') END AS grams FROM n")
+def char_trigrams(spark, d):
+    return _documents(spark, d).select("entity_id", F.array_join(B.char_grams(F.col("name")), " ").alias("grams"))
 
 
-@query(f"WITH {TOK} SELECT entity_id, {_sorted('list_distinct(prefixes)')} AS prefixes FROM pre")
-def name_prefixes(spark, d, p=SMALL):
-    return _listed(_entities(spark, d, p), prefixes=F.array_distinct(B.prefixes(B.name_tokens(F.col("name")))))
+@query(f"WITH {TOKD} SELECT entity_id, {_sorted('list_distinct(prefixes)')} AS prefixes FROM pre")
+def name_prefixes(spark, d):
+    return _listed(_documents(spark, d), prefixes=F.array_distinct(B.prefixes(B.name_tokens(F.col("name")))))
 
 
 # ---- cleaner
-_FLAT = "replace(replace(url || ' | ' || substr(html, 1, 400), chr(10), ' '), chr(13), ' ')"
+_FLAT = "replace(replace(url || ' | ' || html, chr(10), ' '), chr(13), ' ')"
 
 
-def _pages(spark, d, p=SMALL):
-    flat = F.replace(F.replace(F.concat("url", F.lit(" | "), F.col("html") if p is FULL else F.substring("html", 1, 400)), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", flat.alias("flat"))
+def _pages(spark, d):
+    flat = F.replace(F.replace(F.concat("url", F.lit(" | "), "html"), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html", flat.alias("flat"))
 
 
 @query(rf"SELECT page_id, regexp_replace({_FLAT}, '{V.URL}', '', 'g') AS text FROM pages")
-def strip_urls(spark, d, p=SMALL):
-    return _pages(spark, d, p).select("page_id", C.strip_urls(F.col("flat")).alias("text"))
+def strip_urls(spark, d):
+    return _pages(spark, d).select("page_id", C.strip_urls(F.col("flat")).alias("text"))
 
 
 @query(rf"SELECT c_custkey, regexp_replace(x, '{V.PHONE}', '', 'g') AS text FROM (SELECT c_custkey, c_name || ' tel ' || (c_custkey * 7919 + 10000000) || ' no ' || c_custkey || ' 12-34 56.78-90' AS x FROM customer)")
@@ -222,12 +236,10 @@ def strip_phones(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.strip_phones(x).alias("text"))
 
 
-@query(rf"SELECT page_id, regexp_replace(translate(url || html[1:200], '{V.BRACKETS}', ''), '\|[^\n]*$', '') AS text, translate({_FLAT}, '{V.BRACKETS}', '') AS bare FROM pages".replace("html[1:200]", "substr(replace(html, chr(10), ' '), 1, 200)"))
-def strip_brackets_pipe(spark, d, p=SMALL):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    html = F.replace("html", F.lit("\n"), F.lit(" "))
-    x = F.concat("url", html if p is FULL else F.substring(html, 1, 200))
-    return pages.select("page_id", C.strip_pipe(C.strip_brackets(x)).alias("text")).join(_pages(spark, d, p).select("page_id", C.strip_brackets(F.col("flat")).alias("bare")), "page_id")
+@query(rf"SELECT page_id, regexp_replace(translate(url || replace(html, chr(10), ' '), '{V.BRACKETS}', ''), '\|[^\n]*$', '') AS text, translate({_FLAT}, '{V.BRACKETS}', '') AS bare FROM pages")
+def strip_brackets_pipe(spark, d):
+    x = F.concat("url", F.replace("html", F.lit("\n"), F.lit(" ")))
+    return _pages(spark, d).select("page_id", C.strip_pipe(C.strip_brackets(x)).alias("text"), C.strip_brackets(F.col("flat")).alias("bare"))
 
 
 @query("SELECT p_partkey, replace(replace(p_name || ' & ' || p_brand || '+' || p_type, '&', ' and '), '+', ' and ') AS text FROM part")
@@ -247,7 +259,7 @@ def legal_suffix(spark, d):
     pick = lambda words, k: F.get(F.array(*map(F.lit, words)), (F.col("s_suppkey") % k).cast("int"))
     x = F.concat_ws(" ", pick(_HEADS, 4), F.lower("s_name"), pick(_LAST, 8))
     df = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.split(F.replace(x, F.lit("#"), F.lit(" ")), " ").alias("w"))
-    return C.with_legal_suffix(df, "w").select("s_suppkey", F.array_join("_core", " ").alias("core"), F.col("_suffix").alias("suffix"))
+    return df.select("s_suppkey", C.legal_parts(F.col("w")).alias("p")).select("s_suppkey", F.array_join("p.core", " ").alias("core"), F.col("p.suffix").alias("suffix"))
 
 
 _ROADS = ["st", "ave,", "blvd.", "rd", "pkwy", "lane", "ste", "fl."]
@@ -283,19 +295,87 @@ def postal_code(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.postal_split(x, land).alias("p")).select("c_custkey", "p.code", "p.rest")
 
 
-def _raw(spark, d, p=SMALL):
-    df = _entities(spark, d, p)
-    return df.select("entity_id", F.col("name").alias("business_name"), F.concat("addr", F.lit(", Suite 4, Seattle, WA 98101")).alias("business_address"), F.lit("US").alias("country"))
+#: Raw customers by country, and what is left of them when they are clean.
+_RAW = {
+    "us": ("The {name} Inc.", "{k} Main St, Suite 4, Seattle, WA 9{code4}", "{core} inc.", "{core}", "inc", "{k} main street, suite 4", "seattle", "wa", "9{code4}"),
+    "India": ("Smt {name} Pvt. Ltd.", "Plot No. {k}, Link Rd, Pune, Maharashtra 41{code4}", "{core} pvt. ltd.", "{core}", "pvt ltd", "{k}, link road", "pune", "maharashtra", "41{code4}"),
+    "France": ("SARL {name}", "{k} Rue de l'Île, 7{code4} Orléans, Ile-de-France", "sarl {core}", "{core}", "sarl", "{k} rue de l ile", "orleans", "ile-de-france", "7{code4}"),
+}
+_RAW_LANDS = list(_RAW)
 
 
-@query()
-def preprocess(spark, d, p=SMALL):
-    return C.preprocess(_raw(spark, d, p))
+def _raw_sql(i: int) -> str:
+    parts = lambda text: " || ".join(f"'{p}'" if not p.startswith("{") else {"{name}": "name", "{core}": "lower(name)", "{k}": "c_custkey", "{code4}": "lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"}[p] for p in re.split(r"(\{\w+\})", text.replace("'", "''")) if p)
+    return f"CASE c_custkey % 3 " + " ".join(f"WHEN {k} THEN {parts(v[i])}" for k, v in enumerate(_RAW.values())) + " END"
 
 
-@query()
-def blocking_keys(spark, d, p=SMALL):
-    return C.blocking_keys(C.preprocess(_raw(spark, d, p)))
+_CLEAN_SQL = f"""WITH c AS (SELECT c_custkey, replace(c_name, '#', ' No') AS name FROM customer),
+cl AS (SELECT 'S1-' || c_custkey AS entity_id, lower(({_case(dict(zip('012', _RAW_LANDS)), "CAST(c_custkey % 3 AS VARCHAR)")})) AS country, {_raw_sql(0)} AS business_name, {_raw_sql(1)} AS business_address, {_raw_sql(2)} AS name_clean, {_raw_sql(3)} AS name_core, {_raw_sql(4)} AS legal_suffix,
+  {_raw_sql(5)} AS addr_clean, {_raw_sql(6)} AS addr_city, {_raw_sql(7)} AS addr_state, {_raw_sql(8)} AS addr_postal_code FROM c)"""
+
+
+def _raw(spark, d):
+    k = F.col("c_custkey")
+    known = {"{name}": F.replace("c_name", F.lit("#"), F.lit(" No")), "{k}": k.cast("string"), "{code4}": F.lpad((k % 10000).cast("string"), 4, "0")}
+    text = lambda i: F.get(F.array(*[F.concat(*[known.get(p, F.lit(p)) for p in re.split(r"(\{\w+\})", v[i]) if p]) for v in _RAW.values()]), (k % 3).cast("int"))
+    land = F.get(F.array(*map(F.lit, _RAW_LANDS)), (k % 3).cast("int"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("S1-"), k.cast("string")).alias("entity_id"), text(0).alias("business_name"), text(1).alias("business_address"), land.alias("country"))
+
+
+@query(f"{_CLEAN_SQL} SELECT * FROM cl")
+def preprocess(spark, d):
+    return C.preprocess(_raw(spark, d)).drop("name_original", "name_translit", "addr_original", "addr_translit")
+
+
+@query(f"{_CLEAN_SQL} SELECT entity_id, country, addr_postal_code AS postal_code, addr_city || '_' || addr_state AS city_state, string_split(name_core, ' ')[1] AS name_first_token FROM cl")
+def blocking_keys(spark, d):
+    return C.blocking_keys(C.preprocess(_raw(spark, d)))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(" + _latin("text") + r"), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS latin FROM documents")
+def transliterate_text(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", squeeze(transliterate(F.col("text"))).alias("latin"))
+
+
+# ---- files: written as TSV, read by the scans
+def _written(df, writer=sinks.write_lists):
+    path = sinks.shared_path(df.sparkSession)
+    writer(df, path)
+    return path
+
+
+_RAWNULL = "CASE c_custkey % 7 WHEN 0 THEN 'null' WHEN 1 THEN 'N/A' WHEN 2 THEN 'he said \"x' ELSE c_name END"
+
+
+@query(f"SELECT 'S1-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS entity_id, CASE WHEN x IN ('null', 'N/A') THEN '' ELSE x END AS name, c_mktsegment AS addr, '' AS country FROM (SELECT *, {_RAWNULL} AS x FROM customer)")
+def scan_raw_files(spark, d):
+    k = F.col("c_custkey")
+    x = F.when(k % 7 == 0, "null").when(k % 7 == 1, "N/A").when(k % 7 == 2, 'he said "x').otherwise(F.col("c_name"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("S1-"), F.lpad(k.cast("string"), 6, "0")).alias("entity_id"), x.alias("business_name"), F.col("c_mktsegment").alias("business_address"), F.lit("NaN").alias("country"))
+    return tables.load_matching(spark, _written(rows))
+
+
+_LISTS = "SELECT 'S1-' || o_custkey AS s1_id, string_agg('S2-' || (o_orderkey % 40), ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1"
+
+
+def _id_lists(spark, d):
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda o: F.concat(F.lit("S2-"), (o % 40).cast("string"))), ",")
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("s1_id")).agg(ids.alias("ids"))
+
+
+@query(f"WITH l AS ({_LISTS}) SELECT DISTINCT s1_id, unnest(string_split(ids, ',')) AS cand_id FROM l")
+def scan_truth_files(spark, d):
+    return tables.pairs_of(tables.load_ground_truth(spark, _written(_id_lists(spark, d))))
+
+
+@query(f"WITH l AS ({_LISTS}), p AS (SELECT s1_id, string_split(ids, ',') AS c FROM l) SELECT s1_id, CAST(k AS INT) AS position, c[k + 1] AS cand_id FROM (SELECT s1_id, c, unnest(range(len(c))) AS k FROM p)")
+def scan_list_files(spark, d):
+    return tables.load_lists(spark, _written(_id_lists(spark, d)))
+
+
+@query(f"{_CLEAN_SQL} SELECT entity_id, name_core, addr_city, addr_postal_code FROM cl")
+def scan_clean_files(spark, d):
+    return tables.load_clean(spark, _written(C.preprocess(_raw(spark, d)), sinks.write_clean), ["entity_id", "name_core", "addr_city", "addr_postal_code"])
 
 
 # ---- matching normaliser
@@ -314,15 +394,15 @@ def _maddr(x: str) -> str:
 _ASCII = rf"trim(regexp_replace(regexp_replace(strip_accents(n), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"WITH {ENT}, m AS (SELECT entity_id, {_mname('name')} AS n FROM ent) SELECT entity_id, n AS name_norm, {_ASCII} AS name_ascii FROM m")
-def match_name_norm(spark, d, p=SMALL):
-    df = _entities(spark, d, p).select("entity_id", M.match_name(F.col("name")).alias("name_norm"))
+@query(f"WITH {DOC}, m AS (SELECT entity_id, {_mname('name')} AS n FROM ent) SELECT entity_id, n AS name_norm, {_ASCII} AS name_ascii FROM m")
+def match_name_norm(spark, d):
+    df = _documents(spark, d).select("entity_id", M.match_name(F.col("name")).alias("name_norm"))
     return df.withColumn("name_ascii", M.match_name_ascii(F.col("name_norm")))
 
 
-@query(f"WITH {ENT}, m AS (SELECT entity_id, {_maddr('addr')} AS a FROM ent) SELECT entity_id, a AS addr_norm, array_to_string(list_transform(list_filter(string_split(a, ' '), lambda t: t <> ''), lambda t: coalesce({_case(V.MATCH_STREETS, 't')}, t)), ' ') AS expanded FROM m")
-def match_addr_norm(spark, d, p=SMALL):
-    df = _entities(spark, d, p).select("entity_id", M.match_address(F.col("addr")).alias("addr_norm"))
+@query(f"WITH {DOC}, m AS (SELECT entity_id, {_maddr('addr')} AS a FROM ent) SELECT entity_id, a AS addr_norm, array_to_string(list_transform(list_filter(string_split(a, ' '), lambda t: t <> ''), lambda t: coalesce({_case(V.MATCH_STREETS, 't')}, t)), ' ') AS expanded FROM m")
+def match_addr_norm(spark, d):
+    df = _documents(spark, d).select("entity_id", M.match_address(F.col("addr")).alias("addr_norm"))
     return df.withColumn("expanded", M.expand_address(F.col("addr_norm"), F.lit("us")))
 
 
@@ -333,37 +413,37 @@ def numbers_set(spark, d):
 
 # ---- document frequency and scores
 @query(f"WITH {POST} SELECT country, channel, token, df FROM df")
-def token_df(spark, d, p=SMALL):
-    return blocking.document_frequency(blocking.token_table(_sources(spark, d, p)[1]))
+def token_df(spark, d):
+    return blocking.document_frequency(blocking.token_table(_sources(spark, d)[1]))
 
 
 @query(f"WITH {POST} SELECT country, channel, token, df FROM df WHERE df <= {_CAPS}")
-def token_df_capped(spark, d, p=SMALL):
-    return blocking.capped(blocking.document_frequency(blocking.token_table(_sources(spark, d, p)[1])), p)
+def token_df_capped(spark, d, p=FULL):
+    return blocking.capped(blocking.document_frequency(blocking.token_table(_sources(spark, d)[1])), p)
 
 
-@query(f"WITH {POST} SELECT country, token, df FROM df WHERE channel = 'name' AND df <= {SMALL.rare}")
-def rare_tokens(spark, d, p=SMALL):
-    return blocking.document_frequency(blocking.token_table(_sources(spark, d, p)[1])).where((F.col("channel") == "name") & (F.col("df") <= p.rare)).select("country", "token", "df")
+@query(f"WITH {POST} SELECT country, token, df FROM df WHERE channel = 'name' AND df <= @rare@")
+def rare_tokens(spark, d, p=FULL):
+    return blocking.document_frequency(blocking.token_table(_sources(spark, d)[1])).where((F.col("channel") == "name") & (F.col("df") <= p.rare)).select("country", "token", "df")
 
 
-def _scores(spark, d, p=SMALL):
-    return blocking.pair_scores(*_sources(spark, d, p), p)
+def _scores(spark, d, p=FULL):
+    return blocking.pair_scores(*_sources(spark, d), p)
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, sa, hits FROM scored WHERE sa > 0")
-def score_name(spark, d, p=SMALL):
+def score_name(spark, d, p=FULL):
     return _scores(spark, d, p).where("sa > 0").select("s1_id", "cand_id", "sa", "hits")
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, sb, postal FROM scored WHERE sb > 0")
-def score_addr_postal(spark, d, p=SMALL):
+def score_addr_postal(spark, d, p=FULL):
     return _scores(spark, d, p).where("sb > 0").select("s1_id", "cand_id", "sb", "postal")
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, CAST(sum(n) AS BIGINT) AS n FROM hit WHERE channel = 'prefix' GROUP BY s1_id, cand_id")
-def score_prefix(spark, d, p=SMALL):
-    q, t = _sources(spark, d, p)
+def score_prefix(spark, d, p=FULL):
+    q, t = _sources(spark, d)
     keys = ["country", "channel", "token"]
     posts = blocking.token_table(t).where("channel = 'prefix'")
     kept = posts.join(blocking.capped(blocking.document_frequency(posts), p), keys).select(*keys, F.col("entity_id").alias("cand_id"), F.col("tf").alias("t_tf"))
@@ -372,95 +452,109 @@ def score_prefix(spark, d, p=SMALL):
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, composite, score FROM scored")
-def score_composite(spark, d, p=SMALL):
+def score_composite(spark, d, p=FULL):
     return _scores(spark, d, p).select("s1_id", "cand_id", F.col("composite").cast("long").alias("composite"), F.col("score").cast("long").alias("score"))
 
 
 @query(f"WITH {FALL} SELECT s1_id, cand_id, CAST(gram_score AS BIGINT) AS gram_score FROM fall")
-def fallback_trigrams(spark, d, p=SMALL):
-    q, t = _sources(spark, d, p)
+def fallback_trigrams(spark, d, p=FULL):
+    q, t = _sources(spark, d)
     return blocking.fallback(q, t, blocking.pair_scores(q, t, p), p).select("s1_id", "cand_id", F.col("gram_score").cast("long").alias("gram_score"))
 
 
 @query(f"WITH {BUDGET} SELECT s1_id, cand_id, source, score, budget FROM cand")
-def budget_topk(spark, d, p=SMALL):
+def budget_topk(spark, d, p=FULL):
     return _candidates(spark, d, p).select("s1_id", "cand_id", "source", "score", F.col("budget").cast("long").alias("budget"))
 
 
 @query(f"""WITH {BUDGET} SELECT ent.entity_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY CASE WHEN source = 'S3' THEN -CAST(substr(cand_id, 4) AS BIGINT) ELSE CAST(substr(cand_id, 4) AS BIGINT) END), '') AS candidate_entity_ids
 FROM ent LEFT JOIN cand ON entity_id = s1_id WHERE entity_id LIKE 'S1-%' GROUP BY entity_id""")
-def candidate_lists(spark, d, p=SMALL):
-    return blocking.candidate_lists(_sources(spark, d, p)[0], _candidates(spark, d, p))
+def candidate_lists(spark, d, p=FULL):
+    return blocking.candidate_lists(_sources(spark, d)[0], _candidates(spark, d, p))
 
 
 # ---- features over the candidates
-def _features(spark, d, p=SMALL):
-    q, t = _sources(spark, d, p)
+def _features(spark, d, p=FULL):
+    q, t = _sources(spark, d)
     return S.pair_features(_candidates(spark, d, p).select("s1_id", "cand_id"), S.normalised(q), S.normalised(t))
 
 
-@query()
-def pair_features(spark, d, p=SMALL):
-    return _features(spark, d, p)
+def _split(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
 
 
+_EXPANDED = f"""array_to_string(list_transform(list_filter(string_split_regex(addr, '\\s+'), lambda t: t <> ''), lambda t: coalesce(
+    CASE WHEN lower(country) IN ('us', 'france', '') THEN {_case(V.MATCH_STREETS, "regexp_replace(lower(t), '[.]+$', '')")} END, CASE WHEN lower(country) IN ('india', '') THEN {_case(V.MATCH_INDIA, "regexp_replace(lower(t), '[.]+$', '')")} END, t)), ' ')"""
+_FIVE, _SIX = (rf"regexp_extract(addr, '\b([0-9]{{{n}}})\b', 1)" for n in (5, 6))
 NORMED = f"""{BUDGET},
-nrm AS (SELECT entity_id, country, addr AS raw, {_mname('name')} AS n, {_maddr('addr')} AS a, list_filter(string_split({_maddr('addr')}, ' '), lambda t: t <> '') AS aw FROM ent),
-fp AS (SELECT c.s1_id, c.cand_id, x.n AS n1, y.n AS n2, x.a AS a1, y.a AS a2, list_filter(string_split(x.n, ' '), lambda t: t <> '') AS w1, list_filter(string_split(y.n, ' '), lambda t: t <> '') AS w2, x.raw AS r1, y.raw AS r2
+n0 AS (SELECT entity_id, addr AS raw, lower(trim(country)) AS land, {_mname('name')} AS n, {_maddr('addr')} AS a, {_maddr(_EXPANDED)} AS x,
+  CASE WHEN lower(country) IN ('us', 'france') THEN {_FIVE} WHEN lower(country) = 'india' THEN {_SIX} WHEN {_FIVE} <> '' THEN {_FIVE} ELSE {_SIX} END AS post FROM ent),
+nrm AS (SELECT *, {_ASCII} AS g, {_split('n')} AS w, {_split('x')} AS aw FROM n0),
+fp AS (SELECT c.s1_id, c.cand_id, x.n AS n1, y.n AS n2, x.g AS g1, y.g AS g2, x.a AS a1, y.a AS a2, x.x AS x1, y.x AS x2, x.w AS w1, y.w AS w2, x.aw AS aw1, y.aw AS aw2, x.raw AS r1, y.raw AS r2, x.land AS land1, y.land AS land2, x.post AS p1, y.post AS p2
   FROM cand c JOIN nrm x ON x.entity_id = c.s1_id JOIN nrm y ON y.entity_id = c.cand_id)"""
 
 
-def _pairs(spark, d, p=SMALL):
-    q, t = _sources(spark, d, p)
-    side = lambda df, k, name: df.select(F.col("entity_id").alias(name), M.match_name(F.col("name")).alias(f"n{k}"), M.match_address(F.col("addr")).alias(f"a{k}"), F.col("addr").alias(f"r{k}"))
-    df = _candidates(spark, d, p).select("s1_id", "cand_id").join(side(q, 1, "s1_id"), "s1_id").join(side(t, 2, "cand_id"), "cand_id")
-    return df.withColumns({"w1": M.tokens(F.col("n1")), "w2": M.tokens(F.col("n2"))})
-
-
 def _jac(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct({a}), list_distinct({b}))) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-@query(f"WITH {NORMED} SELECT s1_id, cand_id, round({_jac('w1', 'w2')}, 6) AS jaccard FROM fp")
-def feat_jaccard(spark, d, p=SMALL):
-    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.jaccard(F.col("w1"), F.col("w2")), 6).alias("jaccard"))
+def _con(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct({a}), list_distinct({b}))) AS DOUBLE) / least(len(list_distinct({a})), len(list_distinct({b}))) END"
 
 
-@query(f"WITH {NORMED} SELECT s1_id, cand_id, round(CASE WHEN len(w1) = 0 AND len(w2) = 0 THEN 1.0 WHEN len(w1) = 0 OR len(w2) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(w1), list_distinct(w2))) AS DOUBLE) / least(len(list_distinct(w1)), len(list_distinct(w2))) END, 6) AS containment FROM fp")
-def feat_containment(spark, d, p=SMALL):
-    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.containment(F.col("w1"), F.col("w2")), 6).alias("containment"))
+def _len(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) = 0 AND length({b}) = 0 THEN 1.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE CAST(least(length({a}), length({b})) AS DOUBLE) / greatest(length({a}), length({b})) END"
 
 
-@query(f"WITH {NORMED} SELECT s1_id, cand_id, round(CASE WHEN length(n1) = 0 AND length(n2) = 0 THEN 1.0 WHEN length(n1) = 0 OR length(n2) = 0 THEN 0.0 ELSE CAST(least(length(n1), length(n2)) AS DOUBLE) / greatest(length(n1), length(n2)) END, 6) AS ratio, n1 = n2 AND n1 <> '' AS same FROM fp")
-def feat_length_exact(spark, d, p=SMALL):
-    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.length_ratio(F.col("n1"), F.col("n2")), 6).alias("ratio"), ((F.col("n1") == F.col("n2")) & (F.col("n1") != "")).alias("same"))
+#: DuckDB compares bytes: each accented letter gets one ASCII sign of its own, which changes no equality.
+def _jw(a: str, b: str) -> str:
+    one = lambda x: f"translate({x}, 'áàâäãåçéèêëíìîïñóòôöõúùûüß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({one(a)}, {one(b)}) END"
 
 
-_NUMS = r"list_distinct(list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[0-9]+')))"
+def _lcs(a: str, b: str) -> str:
+    """The longest common subsequence of strings of at most 126 characters, bit-parallel over a 128-bit row."""
+    full = f"((CAST(1 AS HUGEINT) << length({a})) - 1)"
+    marks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(length({a})), lambda k: CASE WHEN substr({a}, k + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(k AS INT) ELSE CAST(0 AS HUGEINT) END)))"
+    row = f"list_reduce(list_prepend({full}, {marks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({row}) END"
 
 
-@query(f"WITH {NORMED}, nn AS (SELECT s1_id, cand_id, {_NUMS.format('r1')} AS x, {_NUMS.format('r2')} AS y FROM fp) SELECT s1_id, cand_id, round({_jac('x', 'y')}, 6) AS overlap FROM nn")
-def feat_numbers(spark, d, p=SMALL):
-    return _pairs(spark, d, p).select("s1_id", "cand_id", F.round(S.jaccard(M.numbers(F.col("r1")), M.numbers(F.col("r2"))), 6).alias("overlap"))
+def _ratio(lcs: str, a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0 * {lcs} / (length({a}) + length({b})) END"
 
 
-@query(f"WITH {NORMED}, g2 AS (SELECT s1_id, cand_id, {_ASCII.replace('(n)', '(n1)')} AS x, {_ASCII.replace('(n)', '(n2)')} AS y FROM fp) SELECT s1_id, cand_id, round(CASE WHEN x = '' OR y = '' THEN 0 ELSE jaro_winkler_similarity(x, y) END, 5) AS jw FROM g2")
-def feat_jw_ascii(spark, d, p=SMALL):
-    g = lambda k: M.match_name_ascii(F.col(f"n{k}"))
-    return _pairs(spark, d, p).withColumn("t", S.textual(g(1), g(2), g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", F.round("t.name_jw", 5).alias("jw"))
+def _codes(g: str) -> str:
+    """Distinct Soundex codes of a text's words of two letters and more."""
+    word = f"list_filter(list_transform(string_split({g}, ' '), lambda t: regexp_replace(t, '[^a-z]', '', 'g')), lambda t: length(t) >= 2)"
+    digits = "translate(substr(t, 1, 1) || regexp_replace(substr(t, 2), '[hw]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '01230127022455012623017202')"
+    for k in "123456":
+        digits = f"regexp_replace({digits}, '{k}+', '{k}', 'g')"
+    return f"list_distinct(list_transform({word}, lambda t: upper(substr(t, 1, 1)) || rpad(substr(replace(substr({digits}, 2), '0', ''), 1, 3), 3, '0')))"
 
 
-@query()
-def feat_text(spark, d, p=SMALL):
-    """Subsequence ratio, token-sort and token-set ratios, with the short circuit; checked against their definitions in the tests."""
-    g = lambda k: M.match_name_ascii(F.col(f"n{k}"))
-    return _pairs(spark, d, p).withColumn("t", S.textual("n1", "n2", g(1), g(2), "a1", "a2")).select("s1_id", "cand_id", "t.*")
-
-
-@query()
-def feat_soundex(spark, d, p=SMALL):
-    g = lambda k: S.soundex_codes(M.match_name_ascii(F.col(f"n{k}")))
-    return _pairs(spark, d, p).select("s1_id", "cand_id", S.jaccard(g(1), g(2)).alias("soundex"))
+_NUMS = r"list_distinct(list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[0-9]+')))"
+_joined = lambda words: f"array_to_string(list_sort({words}), ' ')"
+FEATS = f"""{NORMED},
+f1 AS (SELECT *, {_jw('n1', 'n2')} AS jw, {_jw('x1', 'x2')} AS aw, {_joined('w1')} AS s1, {_joined('w2')} AS s2, {_joined('aw1')} AS t1, {_joined('aw2')} AS t2, length(array_to_string(list_distinct(list_intersect(w1, w2)), ' ')) AS common,
+  {_joined('list_distinct(list_filter(w1, lambda t: NOT list_contains(w2, t)))')} AS o1, {_joined('list_distinct(list_filter(w2, lambda t: NOT list_contains(w1, t)))')} AS o2 FROM fp),
+f2 AS (SELECT *, jw < {V.SHORT_CIRCUIT} AND aw < {V.SHORT_CIRCUIT} AS short, {_lcs('n1', 'n2')} AS l_name, {_lcs('s1', 's2')} AS l_sort, {_lcs('o1', 'o2')} AS l_set, {_lcs('t1', 't2')} AS l_addr, CAST(common > 0 AS INT) AS gap FROM f1),
+f3 AS (SELECT *, {_ratio('l_sort', 's1', 's2')} AS nsort, {_ratio('l_addr', 't1', 't2')} AS asort, common + gap + length(o1) AS n_left, common + gap + length(o2) AS n_right, length(o1) + length(o2) - 2 * l_set AS indel FROM f2),
+f4 AS (SELECT s1_id, cand_id, short, jw AS name_jaro_winkler, {_ratio('l_name', 'n1', 'n2')} AS name_levenshtein, {_jac('w1', 'w2')} AS name_jaccard, nsort AS name_token_sort,
+  CASE WHEN len(w1) = 0 OR len(w2) = 0 THEN 0.0 WHEN common > 0 AND (o1 = '' OR o2 = '') THEN 1.0 WHEN common > 0 THEN greatest(1 - CAST(indel AS DOUBLE) / (n_left + n_right), 1 - CAST(gap + length(o1) AS DOUBLE) / (common + n_left), 1 - CAST(gap + length(o2) AS DOUBLE) / (common + n_right))
+    ELSE 1 - CAST(indel AS DOUBLE) / (n_left + n_right) END AS name_token_set,
+  {_con('w1', 'w2')} AS name_containment, CAST(n1 = n2 AND n1 <> '' AS INT) AS name_exact, {_len('n1', 'n2')} AS name_length_ratio, {_jw('g1', 'g2')} AS name_aggressive_jw, {_jac(_codes('g1'), _codes('g2'))} AS name_soundex_overlap,
+  aw AS addr_jaro_winkler, {_jac('aw1', 'aw2')} AS addr_jaccard, asort AS addr_token_sort, {_jac(_NUMS.format('r1'), _NUMS.format('r2'))} AS addr_number_overlap, CASE WHEN short OR (p1 = '' AND p2 = '') THEN 0.5 WHEN p1 = p2 THEN 1.0 ELSE 0.0 END AS addr_postal_match,
+  {_len('x1', 'x2')} AS addr_length_ratio, {_con('aw1', 'aw2')} AS addr_containment, CAST(a1 = '' OR a2 = '' AS INT) AS addr_any_empty, CAST(land1 = land2 AND land1 <> '' AS INT) AS country_match, CAST(cand_id NOT LIKE 'S2%' AS INT) AS source_type,
+  sqrt(jw * aw) AS geo_mean_name_addr, CASE WHEN short THEN least(jw, aw) ELSE least(nsort, asort) END AS min_name_addr_sim, CASE WHEN short THEN greatest(jw, aw) ELSE greatest(nsort, asort) END AS max_name_addr_sim FROM f3)"""
+#: What pairs that are far apart in name and address still have.
+_FAR = ["name_jaro_winkler", "addr_jaro_winkler", "addr_postal_match", "addr_any_empty", "country_match", "source_type", "geo_mean_name_addr", "min_name_addr_sim", "max_name_addr_sim"]
+_SHOWN = ", ".join(f"round(CAST(CAST({f if f in _FAR else f'CASE WHEN short THEN 0.0 ELSE {f} END'} AS FLOAT) AS DOUBLE), 5) AS {f}" for f in V.FEATURES)
+
+
+@query(f"WITH {FEATS} SELECT s1_id, cand_id, {_SHOWN} FROM f4")
+def pair_features(spark, d, p=FULL):
+    return _features(spark, d, p).select("s1_id", "cand_id", *[F.round(F.col(f).cast("double"), 5).alias(f) for f in V.FEATURES])
 
 
 # ---- evaluation, with the score as a stand-in probability
@@ -482,18 +576,18 @@ fe AS (SELECT *, {_f05('tp', 'n_pred', 'n_true')} AS f05 FROM by_e)"""
 BY = BY.replace("count(truth.s1_id) AS tp", "count(hit_id) AS tp").replace("LEFT JOIN truth USING (s1_id, cand_id) GROUP BY", "LEFT JOIN (SELECT *, cand_id AS hit_id FROM truth) USING (s1_id, cand_id) GROUP BY")
 
 
-def _by_entity(spark, d, p=SMALL):
-    ids = _sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id"))
-    return evaluate.f05_by_entity(ids, _candidates(spark, d, p).where("score >= 50"), _truth(spark, d, p))
+def _by_entity(spark, d, p=FULL):
+    ids = _sources(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
+    return evaluate.f05_by_entity(ids, _candidates(spark, d, p).where("score >= 50"), _truth(spark, d))
 
 
 @query(f"WITH {BY} SELECT s1_id, n_true, n_pred, tp, round(f05, 6) AS f05 FROM fe")
-def f05_entity(spark, d, p=SMALL):
+def f05_entity(spark, d, p=FULL):
     return _by_entity(spark, d, p).withColumn("f05", F.round("f05", 6))
 
 
 @query(f"WITH {BY} SELECT count(*) AS entities, round(avg(f05), 6) AS macro_f05 FROM fe")
-def f05_macro(spark, d, p=SMALL):
+def f05_macro(spark, d, p=FULL):
     return evaluate.macro(_by_entity(spark, d, p)).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
@@ -503,54 +597,60 @@ pp AS (SELECT s1_id, percent, count(*) AS n_pred, count(hit_id) AS tp FROM (SELE
 sw AS (SELECT percent, avg({_f05('coalesce(tp, 0)', 'coalesce(n_pred, 0)', 'coalesce(n_true, 0)')}) AS macro_f05, CAST(sum(coalesce(n_pred, 0)) AS BIGINT) AS n_pred FROM s1 CROSS JOIN th LEFT JOIN nt USING (s1_id) LEFT JOIN pp USING (s1_id, percent) GROUP BY percent)"""
 
 
-def _sweep(spark, d, p=SMALL):
+def _sweep(spark, d, p=FULL):
     scored = _candidates(spark, d, p).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
-    return evaluate.threshold_sweep(_sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d, p), evaluate.COARSE)
+    return evaluate.threshold_sweep(_sources(spark, d)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d), evaluate.COARSE)
 
 
 @query(f"WITH {SWEEP} SELECT percent, round(macro_f05, 6) AS macro_f05, n_pred FROM sw")
-def threshold_sweep(spark, d, p=SMALL):
+def threshold_sweep(spark, d, p=FULL):
     return _sweep(spark, d, p).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 @query(f"WITH {SWEEP} SELECT percent, round(macro_f05, 6) AS macro_f05 FROM sw ORDER BY round(sw.macro_f05, 9) DESC, percent LIMIT 1")
-def threshold_best(spark, d, p=SMALL):
+def threshold_best(spark, d, p=FULL):
     return evaluate.best_threshold(_sweep(spark, d, p)).select("percent", F.round("macro_f05", 6).alias("macro_f05"))
 
 
 @query(f"WITH {EVAL}, t AS (SELECT s1_id, count(cand_id) AS n FROM s1 LEFT JOIN (SELECT * FROM cand WHERE score >= 50) USING (s1_id) GROUP BY s1_id) SELECT count(*) AS entities, CAST(sum(n) AS BIGINT) AS matches, round(avg(n), 6) AS per_entity FROM t")
-def match_totals(spark, d, p=SMALL):
-    ids = _sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id"))
+def match_totals(spark, d, p=FULL):
+    ids = _sources(spark, d)[0].select(F.col("entity_id").alias("s1_id"))
     return evaluate.match_totals(ids, _candidates(spark, d, p).where("score >= 50")).withColumn("per_entity", F.round("per_entity", 6))
 
 
-@query()
-def threshold_optimum(spark, d, p=SMALL):
+_BEST = f"(SELECT percent FROM sw WHERE percent IN {tuple(evaluate.COARSE)} ORDER BY round(macro_f05, 9) DESC, percent LIMIT 1)"
+
+
+@query(f"""WITH {SWEEP.replace(f'unnest({evaluate.COARSE})', 'unnest(range(5, 96))')}, near AS (SELECT * FROM sw WHERE percent IN {tuple(evaluate.COARSE)} OR abs(percent - {_BEST}) <= 8),
+fine AS (SELECT percent, macro_f05 FROM near WHERE percent NOT IN {tuple(evaluate.COARSE)} ORDER BY round(macro_f05, 9) DESC, percent LIMIT 1),
+best AS (SELECT coalesce((SELECT f.percent FROM fine f, sw WHERE sw.percent = {_BEST} AND round(f.macro_f05, 9) > round(sw.macro_f05, 9)), {_BEST}) AS percent)
+SELECT near.percent, round(macro_f05, 6) AS macro_f05, n_pred, near.percent = best.percent AS chosen FROM near, best""")
+def threshold_optimum(spark, d, p=FULL):
     scored = _candidates(spark, d, p).select("s1_id", "cand_id", (F.least("score", F.lit(100)) / 100.0).alias("probability"))
-    percent, sweeps = evaluate.optimise_threshold(_sources(spark, d, p)[0].select(F.col("entity_id").alias("s1_id")), scored, _truth(spark, d, p))
-    return sweeps.withColumn("chosen", F.col("percent") == percent)
+    percent, sweeps = evaluate.optimise_threshold(_sources(spark, d)[0].select(F.col("entity_id").alias("s1_id")), stored(scored), _truth(spark, d))
+    return sweeps.select("percent", F.round("macro_f05", 6).alias("macro_f05"), "n_pred", (F.col("percent") == percent).alias("chosen"))
 
 
 @query(f"WITH {BY} SELECT round(avg(f05) FILTER (WHERE n_true = 0), 6) AS single_mean, round(avg(f05) FILTER (WHERE n_true > 0), 6) AS matched_mean, round(quantile_cont(f05, 0.25), 6) AS p25, round(quantile_cont(f05, 0.5), 6) AS median, round(quantile_cont(f05, 0.75), 6) AS p75, count(*) FILTER (WHERE f05 = 1) AS perfect, count(*) FILTER (WHERE f05 = 0) AS zero FROM fe")
-def score_percentiles(spark, d, p=SMALL):
+def score_percentiles(spark, d, p=FULL):
     df = evaluate.score_distribution(_by_entity(spark, d, p))
     return df.select(*[F.round(c, 6).alias(c) for c in ("single_mean", "matched_mean", "p25", "median", "p75")], "perfect", "zero")
 
 
 @query(f"WITH {EVAL} SELECT substr(cand_id, 1, 2) AS source, count(*) AS n_true, count(hit_id) AS n_found, round(count(hit_id) / count(*), 6) AS recall FROM truth LEFT JOIN (SELECT s1_id, cand_id, cand_id AS hit_id FROM cand) USING (s1_id, cand_id) GROUP BY 1")
-def recall_by_source(spark, d, p=SMALL):
-    return evaluate.recall_by_source(_candidates(spark, d, p), _truth(spark, d, p)).withColumn("recall", F.round("recall", 6))
+def recall_by_source(spark, d, p=FULL):
+    return evaluate.recall_by_source(_candidates(spark, d, p), _truth(spark, d)).withColumn("recall", F.round("recall", 6))
 
 
 @query(f"WITH {EVAL} SELECT CASE WHEN composite > 0 THEN 'C' WHEN sa > 0 THEN 'A' WHEN sb > 0 THEN 'B' ELSE 'D' END AS channel, count(*) AS n FROM cand SEMI JOIN truth USING (s1_id, cand_id) GROUP BY 1")
-def attribution(spark, d, p=SMALL):
-    return evaluate.attribution(_candidates(spark, d, p), _truth(spark, d, p))
+def attribution(spark, d, p=FULL):
+    return evaluate.attribution(_candidates(spark, d, p), _truth(spark, d))
 
 
 @query(f"""WITH {BUDGET}, nc AS (SELECT entity_id, country, count(cand_id) AS n, count(*) FILTER (WHERE source = 'S2') AS n2 FROM ent LEFT JOIN cand ON entity_id = s1_id WHERE entity_id LIKE 'S1-%' GROUP BY ALL)
 SELECT country, count(*) AS queries, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(n2) AS BIGINT) AS from_s2, count(*) FILTER (WHERE n = 0) AS without, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS most FROM nc GROUP BY ROLLUP (country)""")
-def candidate_report(spark, d, p=SMALL):
-    df = evaluate.candidate_report(_sources(spark, d, p)[0], _candidates(spark, d, p))
+def candidate_report(spark, d, p=FULL):
+    df = evaluate.candidate_report(_sources(spark, d)[0], _candidates(spark, d, p))
     return df.withColumns({c: F.round(c, 6) for c in ("median", "p90", "p95", "p99")})
 
 
@@ -563,30 +663,38 @@ def class_weight(spark, d):
 # ---- splits and samples
 @query(f"WITH {ENT} SELECT country, count(*) AS n FROM ent WHERE entity_id LIKE 'S1-%' GROUP BY country")
 def country_counts(spark, d):
-    return tables.sources(spark, d)[0].groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    return _sources(spark, d)[0].groupBy("country").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {ENT} SELECT entity_id, country FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY entity_id) AS k FROM ent WHERE entity_id LIKE 'S1-%') WHERE k <= 5")
 def sample_per_country(spark, d):
-    return sampling.per_country(tables.sources(spark, d)[0].select("entity_id", "country"), 5)
+    return sampling.per_country(_sources(spark, d)[0].select("entity_id", "country"), 5)
 
 
 @query(f"""WITH {TRUTH}, c AS (SELECT s1_id, count(DISTINCT cand_id) AS n FROM truth GROUP BY s1_id),
 b AS (SELECT entity_id, country, CASE WHEN coalesce(n, 0) = 0 THEN '0' WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' ELSE '6+' END AS bucket FROM ent LEFT JOIN c ON s1_id = entity_id WHERE entity_id LIKE 'S1-%')
 SELECT entity_id, country, bucket, row_number() OVER (PARTITION BY country, bucket ORDER BY md5(entity_id || '|42'), entity_id) <= floor(count(*) OVER (PARTITION BY country, bucket) * 0.15 + 0.5) AS validation FROM b""")
-def stratified_split(spark, d, p=SMALL):
-    return sampling.stratified_split(_sources(spark, d, p)[0], _truth(spark, d, p))
+def stratified_split(spark, d):
+    return sampling.stratified_split(_sources(spark, d)[0], _truth(spark, d))
 
 
 @query(f"""WITH {EVAL}, l AS (SELECT s1_id, cand_id, CAST(hit_id IS NOT NULL AS INT) AS label FROM cand LEFT JOIN (SELECT *, cand_id AS hit_id FROM truth) USING (s1_id, cand_id))
-SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY md5(s1_id || '|' || cand_id || '|42'), cand_id) AS k FROM l) WHERE label = 1 OR k <= 4""")
-def hard_negatives(spark, d, p=SMALL):
-    return sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d, p), 4 if p is SMALL else 60).select("s1_id", "cand_id", "label")
+SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY md5(s1_id || '|' || cand_id || '|42'), cand_id) AS k FROM l) WHERE label = 1 OR k <= 60""")
+def hard_negatives(spark, d, p=FULL):
+    return sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d), 60).select("s1_id", "cand_id", "label")
 
 
-@query()
-def random_pairs(spark, d, p=SMALL):
-    return sampling.random_pairs(*_sources(spark, d, p), _truth(spark, d, p))
+@query(f"""WITH {TRUTH}, tr AS (SELECT DISTINCT s1_id, cand_id FROM truth),
+pool AS (SELECT country, substr(entity_id, 1, 2) AS source, entity_id AS cand_id, row_number() OVER (PARTITION BY country, substr(entity_id, 1, 2) ORDER BY substr(md5(entity_id), 1, 2), entity_id) - 1 AS place FROM ent WHERE entity_id NOT LIKE 'S1-%'),
+sizes AS (SELECT country, source, count(*) AS n_all FROM pool GROUP BY ALL), nt AS (SELECT s1_id, count(*) AS n_true FROM tr GROUP BY 1),
+wanted AS (SELECT entity_id AS s1_id, country, coalesce(n_true, 0) AS n_true, greatest(coalesce(n_true, 0), 1) * 4 AS need FROM ent LEFT JOIN nt ON s1_id = entity_id WHERE entity_id LIKE 'S1-%'),
+asked AS (SELECT *, unnest(range(least(n_all, need + n_true))) AS j, least(n_all, need + n_true) AS draws FROM wanted JOIN sizes USING (country)),
+drawn AS (SELECT s1_id, source, need, cand_id FROM (SELECT *, (j * n_all) // draws + CAST('0x' || substr(md5(s1_id || '|' || source || '|' || j || '|42'), 1, 8) AS BIGINT) % (((j + 1) * n_all) // draws - (j * n_all) // draws) AS place FROM asked) JOIN pool USING (country, source, place) ANTI JOIN tr USING (s1_id, cand_id)),
+turns AS (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY md5(s1_id || '|' || cand_id || '|42'), cand_id) AS turn FROM drawn),
+taken AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY turn, md5(s1_id || '|' || source || '|42')) AS k FROM turns)
+SELECT s1_id, cand_id, 1 AS label FROM tr UNION ALL SELECT s1_id, cand_id, 0 FROM taken WHERE k <= need""")
+def random_pairs(spark, d):
+    return sampling.random_pairs(*_sources(spark, d), _truth(spark, d))
 
 
 # ---- validation, over lists with planted faults
@@ -644,7 +752,14 @@ def validate_subset(spark, d):
     return validate.not_subset(lists, some)
 
 
-@query()
+@query(f"""WITH {_BAD}, bad_rows AS (
+  SELECT 'duplicate row' AS rule, s1_id AS who FROM (SELECT s1_id FROM lists GROUP BY s1_id HAVING count(*) > 1)
+  UNION ALL SELECT 'duplicate id', s1_id || ' ' || cand_id FROM (SELECT s1_id, cand_id FROM ex GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT CASE WHEN cand_id LIKE 'S1-%' THEN 'self match' ELSE 'wrong prefix' END, s1_id || ' ' || cand_id FROM ex WHERE NOT regexp_matches(cand_id, '^S[23]-')
+  UNION ALL SELECT 'missing row', entity_id FROM req WHERE entity_id NOT IN (SELECT s1_id FROM lists)
+  UNION ALL SELECT 'extra row', s1_id FROM lists WHERE s1_id NOT IN (SELECT entity_id FROM req)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY who) AS k FROM bad_rows)
+SELECT rule, 'error' AS severity, count(*) AS n, string_agg(who, '; ' ORDER BY who) FILTER (WHERE k <= 5) AS examples FROM ranked GROUP BY rule""")
 def validate_report(spark, d):
     return validate.report(*_bad(spark, d))
 
@@ -652,31 +767,41 @@ def validate_report(spark, d):
 # ---- resume, model
 @query(f"WITH {ENT} SELECT entity_id FROM ent WHERE entity_id LIKE 'S1-%' AND CAST(substr(entity_id, 4) AS BIGINT) % 2 = 1")
 def resume_anti_join(spark, d):
-    q = tables.sources(spark, d)[0]
+    q = _sources(spark, d)[0]
     done = q.where(F.substring("entity_id", 4, 20).cast("long") % 2 == 0).select(F.col("entity_id").alias("source1_entity_id"))
     return sinks.remaining(q, done).select("entity_id")
 
 
 @query(f"WITH {ENT} SELECT country, count(*) AS finished FROM ent WHERE entity_id LIKE 'S1-%' AND CAST(substr(entity_id, 4) AS BIGINT) % 2 = 0 GROUP BY country")
 def resume_finished(spark, d):
-    q = tables.sources(spark, d)[0]
+    q = _sources(spark, d)[0]
     done = q.where(F.substring("entity_id", 4, 20).cast("long") % 2 == 0).select(F.col("entity_id").alias("source1_entity_id"))
     return sinks.finished_by_country(q, done)
 
 
-def _trained(spark, d, p=SMALL):
-    q, t = _sources(spark, d, p)
-    rows = sampling.hard_negatives(_candidates(spark, d, p), _truth(spark, d, p))
-    features = S.pair_features(rows.select("s1_id", "cand_id"), S.normalised(q), S.normalised(t)).join(rows, ["s1_id", "cand_id"]).cache()
-    return model.train(features), features
+_FITTED: dict = {}
+
+
+def _trained(spark, d, p=FULL):
+    """Model and the features of the queries that were held out, worked out once per session and folder; four of five queries train."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        q, t = _sources(spark, d)
+        split = sampling.stratified_split(q, _truth(spark, d), 0.2).select(F.col("entity_id").alias("s1_id"), "validation")
+        pairs = stored(evaluate.labelled(_candidates(spark, d, p).select("s1_id", "cand_id"), _truth(spark, d)).join(split, "s1_id"))
+        rows = sampling.hard_negatives(pairs.where("not validation"), _truth(spark, d)).select("s1_id", "cand_id", "label").union(pairs.where("validation").select("s1_id", "cand_id", "label"))
+        features = stored(S.pair_features(rows.select("s1_id", "cand_id"), S.normalised(q), S.normalised(t)).join(pairs, ["s1_id", "cand_id"]))
+        _FITTED[key] = model.train(features.where("not validation")), features.where("validation")
+    return _FITTED[key]
 
 
 @query()
-def score_gbt(spark, d, p=SMALL):
-    fitted, features = _trained(spark, d, p)
-    return model.predict(fitted, features).select("s1_id", "cand_id", "label", "probability")
+def score_gbt(spark, d, p=FULL):
+    """All candidates of the held-out queries."""
+    fitted, held = _trained(spark, d, p)
+    return model.predict(fitted, held).select("s1_id", "cand_id", "label", "probability")
 
 
 @query()
-def train_gbt(spark, d, p=SMALL):
+def train_gbt(spark, d, p=FULL):
     return model.importances(_trained(spark, d, p)[0], spark)

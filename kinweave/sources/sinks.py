@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +45,21 @@ def finished_by_country(queries: DataFrame, finished: DataFrame) -> DataFrame:
 def append_results(lists: DataFrame, path: str) -> None:
     """Committed as a whole; an interrupted run leaves no torn rows."""
     lists.write.mode("append").parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share. Only a local session without one gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="kinweave-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/kinweave-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` through a table in the shared folder, so that later steps neither repeat nor lose it."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -115,23 +115,23 @@ def load_config(path: str, spark: SparkSession) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
 
 
-#: A text's first line or first sentence, whichever ends first.
-_FIRST = r"^\s*\S[^\n]*?(?:[.!?](?=\s)|(?=\n)|\z)"
+#: The test tables' stand-in records: a page's title, and the language in its address.
+TITLE = "<title>([^<]*)</title>"
+LANG = "^[a-z]+://[^/]+/([a-z][a-z])/"
+LANDS = {"en": "US", "fr": "France", "de": "India", "es": "Spain"}
 
 
-def entities(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The test tables' stand-in records: documents dealt to three sources, language for country, text cut to name and address: characters 1-60 and 61-160, or (``whole``) first sentence and all the rest."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    source = (F.col("doc_id") % 3 + 1).cast("string")
-    ids = F.concat(F.lit("S"), source, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id")
-    if not whole:
-        return docs.select(ids, F.substring("text", 1, 60).alias("name"), F.substring("text", 61, 100).alias("addr"), F.col("lang").alias("country"))
-    docs = docs.withColumn("name", F.regexp_extract("text", _FIRST, 0))
-    return docs.select(ids, "name", F.substr("text", F.length("name") + 1).alias("addr"), F.col("lang").alias("country"))
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables' stand-in records, from whole pages: dealt to three sources, the title for name, the words of the address with a street and a postal code for address, a country for each language."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    ids = F.concat(F.lit("S"), (F.col("page_id") % 3 + 1).cast("string"), F.lit("-"), F.col("page_id").cast("string"))
+    addr = F.concat(F.trim(F.regexp_replace("url", "[^A-Za-z0-9]+", " ")), F.lit(" St. "), (10000 + F.col("page_id") % 97).cast("string"))
+    land = F.coalesce(*[F.when(F.regexp_extract("url", LANG, 1) == k, F.lit(v)) for k, v in LANDS.items()], F.lit(""))
+    return pages.select(ids.alias("entity_id"), F.regexp_extract("html", TITLE, 1).alias("name"), addr.alias("addr"), land.alias("country"))
 
 
-def sources(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries (source one) and targets (sources two and three)."""
-    df = entities(spark, sf_dir, whole)
+    df = entities(spark, sf_dir)
     first = F.col("entity_id").startswith("S1-")
     return df.where(first), df.where(~first)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.operators import blocking
 from kinweave.sources import sinks
+from kinweave.sources.sinks import stored
 
 SCHEMA = "entity_id string, name string, addr string, country string"
 
@@ -15,10 +16,11 @@ def query_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
 
 
 def link_stream(queries: DataFrame, targets: DataFrame, out: str, checkpoint: str, profile=blocking.Profile()):
-    """Starts a query that writes each batch's candidate lists to its own folder, so a repeated batch overwrites itself: exactly once."""
+    """Starts a query that writes each batch's candidate lists to its own folder, so a repeated batch overwrites itself: exactly once. The targets' index is written once, before the first batch."""
+    known = blocking.index(targets, profile, stored)
 
     def batch(df: DataFrame, number: int) -> None:
-        lists = blocking.candidate_lists(df, blocking.candidates(df, targets, profile))
+        lists = blocking.candidate_lists(df, blocking.candidates(df, known, profile, stored))
         lists.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -30,4 +32,4 @@ def resume(queries: DataFrame, targets: DataFrame, out: str, profile=blocking.Pr
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
         queries = sinks.remaining(queries, spark.read.parquet(path))
-    sinks.append_results(blocking.candidate_lists(queries, blocking.candidates(queries, targets, profile)), path)
+    sinks.append_results(blocking.candidate_lists(queries, blocking.candidates(queries, targets, profile, stored)), path)

@@ -25,8 +25,10 @@ def test_kernels_against_definitions():
         assert S.subsequence(a, b) == lcs(a, b)
         if a and b:
             assert abs(S.jaro_winkler(a, b) - duckdb.execute("select jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]) < 1e-9
-    assert S.token_set("new york mets", "mets new york city") == 1.0
-    assert S.token_set("", "a") == 0.0 and S.indel_ratio("", "") == 1.0
+    pairs += [("x" * 70 + a, b + "y" * 70) for a, b in pairs[:20]] + [("a" * 64, "ba" * 32), ("é𝒳a", "a𝒳é")]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert S.subsequences(left, right).tolist() == [lcs(a, b) for a, b in pairs]
+    assert S.jaro_winklers(left, right).tolist() == pytest.approx([S.jaro_winkler(a, b) for a, b in pairs], abs=1e-12)
 
 
 def test_all_features(spark):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from kinweave import queries as Q
+from kinweave.operators import blocking
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,6 +35,20 @@ def test_oracle(spark, sf, duck, name):
     assert rows(Q.QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(Q.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", ["token_df_capped", "rare_tokens", "score_composite", "fallback_trigrams", "budget_topk", "candidate_lists"])
+def test_caps_and_budgets_that_bite(spark, sf, duck, name):
+    """The same SQL with caps and budgets small enough for the smallest tables."""
+    tight = blocking.Profile(caps={"name": 6, "prefix": 6, "addr": 8, "num": 2, "gram": 8}, rare=1, medium=3, base=3, most=5, trigger=3, add=2)
+    want, whole = rows(duck.sql(Q.filled(Q.TEMPLATES[name], tight)).df()), rows(duck.sql(Q.ORACLES[name]).df())
+    assert rows(Q.QUERIES[name](spark, sf, tight).toPandas()) == want != whole
+
+
+def test_retrieval_keeps_the_true_pairs(spark):
+    """Recall under the method's own caps and budgets."""
+    found = Q.QUERIES["recall_by_source"](spark, "/root/testdata/sf0.1").collect()
+    assert len(found) == 2 and all(r.recall >= 0.9 for r in found)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -53,18 +53,28 @@ def test_resume_and_stream(spark, sf, tmp_path):
     assert {tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "streamed")).select("source1_entity_id", "candidate_entity_ids").collect()} == want
 
 
-def test_linkage_plan(spark, sf, tmp_path):
+def test_linkage_plan(spark, tmp_path, monkeypatch):
     from kinweave import queries as Q
     from kinweave.operators import model
     from kinweave.plans import linkage
 
+    sf = "/root/testdata/sf0.01"
     q, t = tables.sources(spark, sf)
     truth = Q._truth(spark, sf)
-    fitted, percent, _ = linkage.train(q, t, truth, str(tmp_path / "train"), blocking.SMALL)
+    monkeypatch.setattr(model.train, "__defaults__", (model.PRODUCTION | {"maxIter": 12, "maxDepth": 4}, *model.train.__defaults__[1:]))
+    fitted, percent, sweep = linkage.train(q, t, truth, str(tmp_path / "train"), blocking.SMALL)
     model.save_model(fitted, str(tmp_path / "model"), {"threshold": percent / 100}, spark)
     fitted, config = model.load_model(str(tmp_path / "model"), spark)
     done = linkage.link(q, t, fitted, config["threshold"], str(tmp_path / "link"), blocking.SMALL, truth)
     assert done.lists.count() == q.count()
+    # All candidates of the held-out queries choose the threshold, not the thinned ones; 0.995 is one of the thresholds.
+    held = spark.read.parquet(str(tmp_path / "train/held"))
+    pairs = spark.read.parquet(str(tmp_path / "train/candidates"))
+    assert held.count() == pairs.join(held.select("s1_id").distinct(), "s1_id", "left_semi").count() > 0
+    assert 99.5 in {r.percent for r in sweep.collect()}
+    orders = [r.matched_entity_ids.split(",") for r in done.lists.collect() if "," in r.matched_entity_ids]
+    place = lambda c: -int(c[3:]) if c.startswith("S3") else int(c[3:])
+    assert orders and all(o == sorted(o, key=place) for o in orders)
     assert done.evaluation.first()["macro_f05"] > 0.8
     assert done.problems.count() == 0
 
