@@ -1,16 +1,17 @@
-"""Repeated passages by FM-indexes over content shards.
+"""Repeated passages by compressed FM-indexes over content shards.
 
 Every window of ``WINDOW`` words belongs to the least of its ``ANCHOR``-word shingles' hashes; consecutive windows with the same least hash make a segment. Equal
 windows have equal anchors, so only segments whose anchor occurs again can hold repeats, and the shard of an anchor sees all occurrences
-of its windows. Equal segments are merged before a shard sees them, with the earliest place of each. Anchors whose segments hold more than a quarter of ``SHARD_WORDS`` go to
-no shard: their windows are grouped by a 128-bit hash of their own words, so that shards stay bounded whatever the anchors are.
+of its windows. Equal segments (by anchor and a hash of their words) are merged before their words are fetched, with the earliest place of each. Anchors whose segments hold more than
+a quarter of ``SHARD_WORDS`` go to no shard: their windows are grouped by a 128-bit hash of their own words, so that shards stay bounded whatever the anchors are.
 
-A shard's text is indexed as an FM-index: suffix order by prefix doubling, the Burrows-Wheeler transform over groups of ``STEP`` words (the group that stands
-``STEP`` places before each suffix), held as a bit-packed wavelet matrix with popcount ranks. All windows are searched backward at once, a group at a time, while their interval
-holds more than one suffix; the groups matched are the window's matching statistic, and windows that match in full are reported with the earliest place of their interval.
+A shard's text is indexed as an FM-index: its suffixes are sorted once by prefix doubling, and what stays is the Burrows-Wheeler transform over groups of ``STEP`` words (the group that stands
+``STEP`` places before each suffix) as a bit-packed wavelet matrix with popcount ranks, and every ``RATE``-th suffix' place. The shard's segments then stream past the index in blocks of ``LANES`` windows:
+each window is searched backward, a group at a time, while its interval holds more than one suffix. The words matched are the window's matching statistic; where it reaches ``WINDOW``, the
+interval's places are read off by walking back to sampled ones, and all but the earliest are reported.
 
 Defined cases: null and empty texts have no words and keep nothing; documents are ordered by id (null first), then by a hash of the text; rows that repeat an id and its text are one document and are cut alike; an
-empty table gives no rows.
+empty table gives no rows; other columns than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from kinweave.llm.common import BROADCAST_ROWS, arrow, discard, lean, save, slic
 
 WINDOW, ANCHOR, STEP = 20, 8, 4
 SEGMENT_WINDOWS = 32
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 200_000
+RATE, LANES = 4, 65_536
 
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(ANCHOR)]
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32())])
-_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("k", pa.int32())])
-_SEGMENTS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+_BASE = 0xD6E8FEB86659FD93
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("times", pa.int32())])
+_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("k", pa.int32())])
+_SEGMENTS = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 _DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -45,12 +48,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, first windows and numbers of windows of a document's segments, and 2 where a segment may repeat a window of its own, else 1."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def segments(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """A document's segments: anchors, hashes of their words, first windows, numbers of windows, and 2 where a segment may repeat a window of its own, else 1."""
     n = len(words) - WINDOW + 1
     if n < 1:
-        none = np.empty(0, np.int64)
-        return none, none, none, none
+        return (np.empty(0, np.int64),) * 5
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     m = len(words) - ANCHOR + 1
     grams = least = _mix(sum(h[k : k + m] * _FACTORS[k] for k in range(ANCHOR)))
@@ -73,7 +81,10 @@ def segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         shift = (np.arange(parts.sum()) - first) * SEGMENT_WINDOWS
         times = np.repeat(times, parts)
         new, size = np.repeat(new, parts) + shift, np.minimum(np.repeat(size, parts) - shift, SEGMENT_WINDOWS)
-    return least[new].view(np.int64), new, size, times
+    # The polynomial hash of each segment's words, from sums over the whole document.
+    upto = np.r_[np.uint64(0), np.cumsum(_mix(h) * _powers(_BASE, len(h)), dtype=np.uint64)]
+    key = (upto[new + size + WINDOW - 1] - upto[new]) * _powers(pow(_BASE, -1, 1 << 64), len(h))[new]
+    return least[new].view(np.int64), _mix(key + size.astype(np.uint64)).view(np.int64), new, size, times
 
 
 class WaveletMatrix:
@@ -91,44 +102,58 @@ class WaveletMatrix:
             self.zeros.append(n - int(np.count_nonzero(ones)))
             symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        block = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[k][block] + np.bitwise_count(self.planes[k][block] & mask)
+
     def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often ``symbol`` occurs before ``low`` and before ``high``."""
-        begin = np.zeros(len(symbol), np.int64)
-        both = np.concatenate([begin, low, high])
+        both = np.concatenate([np.zeros(len(symbol), np.int64), low, high])
         thrice = np.concatenate([symbol, symbol, symbol])
         for k, level in enumerate(reversed(range(self.levels))):
-            block = both >> 6
-            mask = (np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][block] + np.bitwise_count(self.planes[k][block] & mask)
+            ones = self._ones(k, both)
             both = np.where((thrice >> level) & 1, self.zeros[k] + ones, both - ones)
         n = len(symbol)
         return both[n : 2 * n] - both[:n], both[2 * n :] - both[:n]
 
+    def at(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at ``row`` and how often each occurs before its row."""
+        symbol, both, n = np.zeros(len(row), np.int64), np.concatenate([np.zeros(len(row), np.int64), row]), len(row)
+        for k in range(self.levels):
+            own = both[n:]
+            bit = (self.planes[k][own >> 6] >> (own & 63).astype(np.uint64)).astype(np.int64) & 1
+            ones = self._ones(k, both)
+            both = np.where(np.concatenate([bit, bit]), self.zeros[k] + ones, both - ones)
+            symbol = symbol << 1 | bit
+        return symbol, both[n:] - both[:n]
+
 
 class FMIndex:
-    """Of a text of positive symbols with 0 between segments. Suffixes are ordered by their first 32 symbols, enough for patterns up to that length."""
+    """Of a text of int32 symbols in which every symbol below ``ends`` occurs once and ends a segment of less than 64 symbols; the last ``STEP`` symbols are such ends too."""
 
     def __init__(self, text: np.ndarray) -> None:
         n = len(text)
         rank, reach = text.astype(np.int64), 1
-        self.groups = None
-        while reach < 32:
+        while reach < 64:
             if reach == STEP:
-                self.groups = rank
+                self.groups = rank.astype(np.int32)
             after = np.zeros(n, np.int64)
             after[: n - reach] = rank[reach:] + 1
-            key = rank * (n + 2) + after
+            key = rank * (n + len(text) + 2) + after
             order = np.argsort(key)
             ranked = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])
             reach *= 2
-        self.order = order
         # The transform: the group STEP places before each suffix, in suffix order; groups are numbered in suffix order too.
-        self.levels = max(1, int(self.groups.max()).bit_length())
-        self.first = np.r_[0, np.cumsum(np.bincount(self.groups))]
-        before = self.groups[order - STEP]  # the places before the text wrap to its end, where only separators stand
-        self.tree = WaveletMatrix(before, self.levels)
+        self.first = np.r_[0, np.cumsum(np.bincount(self.groups))].astype(np.int32)
+        self.tree = WaveletMatrix(self.groups[order - STEP], max(1, int(self.groups.max()).bit_length()))
+        # Of the places in a chain of steps every RATE-th one is kept, and those from which no step leads back.
+        marked = (order // STEP % RATE == 0) | (order < STEP)
+        self.marked = np.packbits(np.r_[marked.astype(np.uint8), np.zeros(-n % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.marked), dtype=np.int64)[:-1]].astype(np.int32)
+        self.sample = order[marked].astype(np.int32)
 
     def search(self, at: np.ndarray, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Suffix intervals of the patterns of ``length`` (a multiple of ``STEP``) at text places ``at``, and how many words of each, from its end, occur twice or more."""
@@ -137,7 +162,7 @@ class FMIndex:
         for shift in range(length - STEP, -1, -STEP):
             symbol = self.groups[at[live] + shift]
             if shift == length - STEP:
-                a, b = self.first[symbol], self.first[symbol + 1]
+                a, b = self.first[symbol].astype(np.int64), self.first[symbol + 1].astype(np.int64)
             else:
                 a, b = self.tree.rank(symbol, low[live], high[live])
                 a, b = a + self.first[symbol], b + self.first[symbol]
@@ -146,42 +171,61 @@ class FMIndex:
             matched[live] += STEP
         return low, high, matched
 
-
-def firsts(texts: list[bytes], counts: np.ndarray, places: np.ndarray) -> list[bytes]:
-    """For each of a shard's distinct segments a byte per window: 1 if the segment's own earliest place is the window's first.
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """The text places of suffixes, by steps back to sampled ones."""
+        place, row = np.zeros(len(row), np.int64), row.astype(np.int64)
+        live, steps = np.arange(len(row)), 0
+        while len(live):
+            own = row[live]
+            bit = own & 63
+            here = (self.marked[own >> 6] >> bit.astype(np.uint64) & np.uint64(1)).astype(bool)
+            known, r = live[here], own[here]
+            mask = (np.uint64(1) << bit[here].astype(np.uint64)) - np.uint64(1)
+            place[known] = self.sample[self.before[r >> 6] + np.bitwise_count(self.marked[r >> 6] & mask)] + steps * STEP
+            live = live[~here]
+            symbol, rank = self.tree.at(row[live])
+            row[live] = self.first[symbol] + rank
+            steps += 1
+        return place
+
+
+def firsts(texts: list[bytes], counts: np.ndarray, places: np.ndarray) -> list[str]:
+    """For each of a shard's distinct segments a digit per window: 1 if the segment's own earliest place is the window's first.
 
     ``counts``: windows per segment; ``places``: (n, 3) earliest places (id, hash, start).
     """
     words = [t.split(b" ") for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = len(words) + STEP
     number: dict[bytes, int] = {}
-    flat = [w for seg in words for w in seg]
-    for w in flat:
-        if w not in number:
-            number[w] = len(number) + 1
+    flat = np.fromiter((number.setdefault(w, ends + len(number)) for seg in words for w in seg), np.int32, int(sizes.sum()))
     begins = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int(sizes.sum()) + len(words) + STEP, np.int64)
-    inside = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
-    text[inside] = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    text = np.full(len(flat) + ends, -1, np.int32)
+    text[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
+    text[text < 0] = np.arange(ends)
+    del words, number, flat
     index = FMIndex(text)
-    own = np.repeat(np.arange(len(words)), counts)
-    offset = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    offset = (np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
     at = begins[own] + offset
     # Places in corpus order, for every window.
     order = np.lexsort((places[own, 2] + offset, places[own, 1], places[own, 0]))
-    prior = np.full(len(text), len(own), np.int64)
+    prior = np.full(len(text), len(own), np.int32)
     prior[at[order]] = np.arange(len(own))
-    result = np.ones(len(own), bool)
-    low, high, matched = index.search(at)
-    repeated = np.flatnonzero(matched >= WINDOW)
+    result, lows, highs, who = np.ones(len(own), bool), [], [], []
+    for block in range(0, len(at), LANES):
+        low, high, matched = index.search(at[block : block + LANES])
+        repeated = np.flatnonzero(matched >= WINDOW)
+        lows.append(low[repeated]), highs.append(high[repeated]), who.append(repeated + block)
+    low, high, repeated = np.concatenate(lows), np.concatenate(highs), np.concatenate(who)
     if len(repeated):
-        lows, back = np.unique(low[repeated], return_inverse=True)
-        ends = np.zeros(len(lows), np.int64)
-        ends[back] = high[repeated]
-        edges = np.stack([lows, ends], 1).reshape(-1)
-        earliest = np.minimum.reduceat(np.r_[prior[index.order], len(own)], edges)[::2]
-        result[repeated] = prior[at[repeated]] == earliest[back]
-    flags = result.astype(np.uint8).tobytes()
+        low, which, back = np.unique(low, return_index=True, return_inverse=True)
+        size = high[which] - low
+        first = np.cumsum(size) - size
+        rows = np.repeat(low - first, size) + np.arange(int(size.sum()))
+        found = np.concatenate([prior[index.locate(rows[k : k + LANES])] for k in range(0, len(rows), LANES)])
+        result[repeated] = prior[at[repeated]] == np.minimum.reduceat(found, first)[back]
+    flags = (result.astype(np.uint8) + ord("0")).tobytes().decode()
     upto = np.cumsum(counts)
     return [flags[a:b] for a, b in zip((upto - counts).tolist(), upto.tolist(), strict=True)]
 
@@ -196,36 +240,39 @@ def anchors(docs: DataFrame) -> DataFrame:
         for dids, ths, raws in slices(batches, 256):
             parts = [segments(r.split()) for r in raws]
             n = [len(p[0]) for p in parts]
-            columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.repeat(np.array(dids, np.int64), n)), pa.array(np.repeat(np.array(ths, np.int64), n)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], schema=_ANCHORS)
+            anchor, key, start, size, times = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(np.repeat(np.array(dids, np.int64), n)), pa.array(np.repeat(np.array(ths, np.int64), n)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(times.astype(np.int32))], schema=_ANCHORS)
 
-    return lean(docs).mapInArrow(run, "anchor long, did long, th long, start int, n int, times int")
+    return lean(docs).mapInArrow(run, "anchor long, key long, did long, th long, start int, n int, times int")
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:
-    """The segments whose anchor occurs twice or more, with their words and a 128-bit key. Written in three steps, each dropping what the last one needed."""
+    """anchor, key, did, th, start, n of the segments whose anchor occurs twice or more; saved."""
     found = save(anchors(docs))
     again = found.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
-    repeated = save(found.select("anchor", "did", "th", "start", "n").join(again, "anchor", "left_semi"))
+    repeated = save(found.drop("times").join(again, "anchor", "left_semi"))
     discard(found)
-    chosen = repeated.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("parts"))
+    return repeated
+
+
+def distinct_segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Each distinct segment at its earliest place, with its words: anchor, key, did, th, start, n, words; saved. A document that is stored twice gives its segments twice."""
+    earliest = repeated.groupBy("anchor", "key").agg(F.min(F.struct("did", "th", "start", "n")).alias("p"))
+    chosen = earliest.groupBy("p.did", "p.th").agg(F.collect_list(F.struct("p.start", "p.n", "anchor", "key")).alias("parts"))
 
     def run(batches):
         def each():
+            last = None
             for dids, ths, raws, parts in slices(batches, 64):
                 for did, th, raw, own in zip(dids, ths, raws, parts, strict=True):
-                    words = raw.split()
-                    for p in own:
-                        text = b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])
-                        key = xxhash.xxh3_128_intdigest(text)
-                        yield _signed(key >> 64), _signed(key & (1 << 64) - 1), p["anchor"], did, th, p["start"], p["n"], text
+                    if last != (did, th):
+                        words, last = raw.split(), (did, th)
+                        for p in own:
+                            yield p["anchor"], p["key"], did, th, p["start"], p["n"], b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])
 
         return arrow(each(), _SEGMENTS, width=lambda r: len(r[-1]))
 
-    # A document that is stored twice gives its segments twice, which changes nothing.
-    cut_out = save(docs.join(chosen, ["did", "th"]).mapInArrow(run, "k1 long, k2 long, anchor long, did long, th long, start int, n int, words binary"))
-    discard(repeated)
-    return cut_out
+    return save(docs.join(chosen, ["did", "th"]).mapInArrow(run, "anchor long, key long, did long, th long, start int, n int, words binary"))
 
 
 def hot_anchors(distinct: DataFrame) -> DataFrame:
@@ -234,54 +281,55 @@ def hot_anchors(distinct: DataFrame) -> DataFrame:
 
 
 def window_firsts(hot: DataFrame) -> DataFrame:
-    """What ``firsts`` finds, for segments of any number (k1, k2, place, n, words), by grouping windows in place of an index: k1, k2, own."""
+    """What ``firsts`` finds, for segments of any number, by grouping windows in place of an index: anchor, key, did, th, start, own."""
+    hot = save(hot.dropDuplicates(["anchor", "key"]))
 
     def run(batches):
         def each():
-            for k1s, k2s, places, ns, texts in slices(batches, 64):
-                for k1, k2, place, n, text in zip(k1s, k2s, places, ns, texts, strict=True):
+            for anchors_, keys, dids, ths, starts, ns, texts in slices(batches, 64):
+                for anchor, key, did, th, start, n, text in zip(anchors_, keys, dids, ths, starts, ns, texts, strict=True):
                     words = text.split(b" ")
                     for k in range(n):
-                        key = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + WINDOW]))
-                        yield _signed(key >> 64), _signed(key & (1 << 64) - 1), place["did"], place["th"], place["start"] + k, k1, k2, k
+                        w = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + WINDOW]))
+                        yield _signed(w >> 64), _signed(w & (1 << 64) - 1), did, th, start + k, anchor, key, k
 
         return arrow(each(), _WINDOWS)
 
-    windows = lean(hot.select("k1", "k2", "place", "n", "words")).mapInArrow(run, "w1 long, w2 long, did long, th long, at int, k1 long, k2 long, k int")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", "at", "k1", "k2", "k")).alias("f"))
-    own = earliest.groupBy("f.k1", "f.k2").agg(F.collect_list("f.k").alias("own"))
-    flags = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(F.array_contains("own", k), "01").otherwise("00"))
-    return hot.select("k1", "k2", "n").join(own, ["k1", "k2"], "left").select("k1", "k2", F.unhex(F.array_join(flags, "")).alias("own"))
+    windows = lean(hot.select("anchor", "key", "did", "th", "start", "n", "words")).mapInArrow(run, "w1 long, w2 long, did long, th long, at int, anchor long, key long, k int")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", "at", "anchor", "key", "k")).alias("f"))
+    own = earliest.groupBy("f.anchor", "f.key").agg(F.collect_list("f.k").alias("own"))
+    flags = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(F.array_contains("own", k), "1").otherwise("0"))
+    return hot.drop("words").join(own, ["anchor", "key"], "left").select("anchor", "key", "did", "th", "start", F.array_join(flags, "").alias("own"))
 
 
 def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text) without the words that an earlier window covers: doc_id, n_words, n_removed, kept_sha256, kept."""
     docs = _document(docs)
-    found = repeated_segments(docs)
-    place = F.struct("did", "th", "start")
-    distinct = save(found.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.first("words").alias("words")))
+    repeated = repeated_segments(docs)
+    distinct = distinct_segments(docs, repeated)
     total = distinct.agg(F.sum(F.col("n") + WINDOW).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_WORDS))
 
     def shard(t: pa.Table) -> pa.Table:
-        p = t.column("place").combine_chunks()
-        places = np.stack([p.field(k).to_numpy(zero_copy_only=False) for k in range(3)], 1).astype(np.int64)
+        seen = np.stack([t.column(c).to_numpy() for c in ("anchor", "key")], 1)
+        t = t.take(pa.array(np.sort(np.unique(seen, axis=0, return_index=True)[1])))
+        places = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("did", "th", "start")], 1)
         flags = firsts(t.column("words").to_pylist(), t.column("n").to_numpy().astype(np.int64), places)
-        return pa.table({"k1": t.column("k1"), "k2": t.column("k2"), "own": pa.array(flags, pa.binary())})
+        return t.select(["anchor", "key", "did", "th", "start"]).append_column("own", pa.array(flags, pa.string()))
 
     hot = save(hot_anchors(distinct))
     n_hot = hot.count()
     hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
     cold = distinct.join(hot, "anchor", "left_anti") if n_hot else distinct
-    judged = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "k1 long, k2 long, own binary")
+    judged = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "anchor long, key long, did long, th long, start int, own string")
     if n_hot:
         judged = judged.unionByName(window_firsts(distinct.join(hot, "anchor", "left_semi")))
-    verdicts = save(judged.join(distinct.select("k1", "k2", "place"), ["k1", "k2"]))
+    verdicts = save(judged.select("anchor", "key", F.struct("did", "th", "start").alias("place"), "own"))
     discard(distinct)
-    seen = found.select("k1", "k2", "did", "th", "start", "n").join(verdicts, ["k1", "k2"])
+    seen = repeated.join(verdicts, ["anchor", "key"])
     seen = seen.select("did", "th", "start", "n", F.when(F.struct("did", "th", "start") == F.col("place"), F.col("own")).alias("own"))
-    by_document = save(seen.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n", "own")).alias("parts")))
-    discard(found)
+    by_document = save(seen.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "own")).alias("parts")))
+    discard(repeated)
     discard(verdicts)
 
     def finish(batches):
@@ -296,7 +344,7 @@ def cut(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                             gone[a] += 1
                             gone[a + n + WINDOW - 1] -= 1
                         else:
-                            for k in np.flatnonzero(np.frombuffer(p["own"], np.uint8) == 0).tolist():
+                            for k in np.flatnonzero(np.frombuffer(p["own"].encode(), np.uint8) == ord("0")).tolist():
                                 gone[a + k] += 1
                                 gone[a + k + WINDOW] -= 1
                     covered = np.cumsum(gone[:-1]) > 0

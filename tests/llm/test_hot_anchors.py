@@ -22,8 +22,8 @@ def documents():
 def test_hot_anchor_goes_by_windows(spark, small_shards):
     docs = documents()
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    found = substrings.repeated_segments(substrings._document(frame))
-    distinct = found.groupBy("k1", "k2").agg(F.min(F.struct("did", "th", "start")).alias("place"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.first("words").alias("words"))
+    docs_ = substrings._document(frame)
+    distinct = substrings.distinct_segments(docs_, substrings.repeated_segments(docs_))
     hot = {r.anchor for r in substrings.hot_anchors(distinct).collect()}
     words = {r.anchor: r.n for r in distinct.groupBy("anchor").agg(F.sum(F.col("n") + 20).alias("n")).collect()}
     assert hot == {a for a, n in words.items() if n > 500} and hot

@@ -214,7 +214,7 @@ def test_fm_index():
                 for o in range(counts[k]):
                     t, p = tuple(w[o : o + 20]), (places[k][0], places[k][1], places[k][2] + o)
                     first[t] = min(first.get(t, p), p)
-            want = [bytes(int(first[tuple(w[o : o + 20])] == (places[k][0], places[k][1], places[k][2] + o)) for o in range(counts[k])) for k, w in enumerate(words)]
+            want = ["".join(str(int(first[tuple(w[o : o + 20])] == (places[k][0], places[k][1], places[k][2] + o))) for o in range(counts[k])) for k, w in enumerate(words)]
             assert substrings.firsts(parts, counts, places) == want
 
 
