@@ -21,10 +21,12 @@ SPACES = b" \t\n\v\f\r"
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (a local test session) a temporary folder is made.
+    Only a local session without one, as in tests, gets a temporary folder; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/kinweave-{uuid.uuid4().hex}"

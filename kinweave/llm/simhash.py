@@ -9,12 +9,14 @@ fingerprints are dealt out as pairs of sub-blocks, so no task holds more than tw
 Links join to components by alternating large-star and small-star rounds over distinct fingerprints.
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; fewer words than a shingle make one shingle; repeated rows and equal texts share a
-fingerprint and a component, whose id is the smallest non-null doc_id; an empty table gives no rows.
+fingerprint and a component, whose id is the smallest non-null doc_id (null if none has one); an empty table gives no rows; other columns than doc_id and text, whatever their names, are not read
+(``keep_one`` returns them as they are).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ SEGMENT_BITS, BLOCKS = 2, 7
 CELL = 8192
 
 _LOWER = bytes(range(256)).lower()
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -53,18 +55,18 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of ``docs`` (doc_id, text)."""
+    """doc_id, row, fp (the 64 bits as a signed long) of ``docs`` (doc_id, row, text); ``row`` is passed on as it is."""
 
     def run(batches):
         def each():
-            for ids, texts in slices(batches, 64):
-                for d, t in zip(ids, texts, strict=True):
+            for ids, rows, texts in slices(batches, 64):
+                for d, r, t in zip(ids, rows, texts, strict=True):
                     fp = fingerprint(t or b"")
-                    yield d, fp - (fp >> 63 << 64)
+                    yield d, r, fp - (fp >> 63 << 64)
 
         return arrow(each(), _PRINTS)
 
-    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("row").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def embed(fp: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:
@@ -139,15 +141,16 @@ def _close(keys: np.ndarray, fp: np.ndarray, distance: int, most: int = 24):
     """Edges within runs of equal keys (both sorted by key)."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     size = np.diff(edge)
-    # Runs of a few: all at once, by the distance of their places.
-    few = np.repeat(size, size)
+    # Runs of a few: all at once, by the distance of their places; the bound first here too.
+    few, vectors = np.repeat(size, size), embed(fp, 8)
     for shift in range(1, min(most, int(size.max(initial=1)))):
         same = (keys[shift:] == keys[:-shift]) & (few[shift:] <= most)
         i = np.flatnonzero(same)
         if not len(i):
             continue
-        x = fp[i] ^ fp[i + shift]
-        i = i[np.bitwise_count(x) <= distance]
+        a, b = vectors[i], vectors[i + shift]
+        i = i[(np.maximum(a, b) - np.minimum(a, b)).sum(1) <= distance]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= distance]
         yield from zip(fp[i].view(np.int64).tolist(), fp[i + shift].view(np.int64).tolist(), strict=True)
     for k in np.flatnonzero(size > most):
         own = fp[edge[k] : edge[k + 1]]
@@ -155,8 +158,25 @@ def _close(keys: np.ndarray, fp: np.ndarray, distance: int, most: int = 24):
             yield int(own[i : i + 1].view(np.int64)[0]), int(own[j : j + 1].view(np.int64)[0])
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp, saved) within ``distance`` bits."""
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """How many blocks keep cells small for ``n`` distinct fingerprints: the least cost of copies made and pairs compared, were the bits even.
+
+    A segment of two bits tells 1.415 bits (a share of 3/8 of all pairs agree); comparing a pair costs about a hundredth of making a copy.
+    """
+    def cost(blocks: int) -> float:
+        kept = blocks - distance
+        agree = (3 / 8) ** (64 / SEGMENT_BITS * kept / blocks)
+        return comb(blocks, distance) * (n + 0.01 * n * n * agree / 2)
+
+    return min(range(max(BLOCKS, distance + 1), distance + 13), key=cost)
+
+
+def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (column fp, saved) within ``distance`` bits.
+
+    The cells' copies are made anew where they are needed: that costs less than writing and reading them.
+    """
+    blocks = blocks or blocks_for(prints.count(), distance)
     width = len(list(combinations(range(blocks), blocks - distance)))
 
     def spread(batches):
@@ -201,11 +221,14 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
     return plain.union(closed(pairs.select("pair", "fp"), "pair")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (the component's smallest node) for every node of ``edges`` (a, b), by large-star and small-star rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the component's smallest node) for every node of ``edges`` (a, b), by large-star and small-star rounds up to their fixed point.
+
+    The number of rounds grows with the logarithm of the longest chain; a round that changes nothing ends them.
+    """
     e = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while now != before:
         # Large star: each node's larger neighbours move to its smallest neighbour.
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -214,22 +237,36 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(least, "b")
         e = save(moved.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("m").alias("a"), "b")).distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, now = now, tuple(e.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def rooted(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``prints`` (any columns and fp; saved) with ``root``, equal for all rows of a component."""
+    distinct = save(prints.select("fp").distinct())
+    roots = save(components(near_links(distinct, distance)))
+    named = save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
-    prints = save(fingerprints(docs))
-    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
-    roots = save(components(near_links(distinct.select("fp"), distance)))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = save(named.join(lows, "root").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    own = rooted(save(fingerprints(docs.select("doc_id", F.lit(None).cast("long").alias("row"), "text"))), distance)
+    # The smallest id by fingerprint first, so that a component of many copies meets as one row each.
+    lows = own.groupBy("fp", "root").agg(F.min("doc_id").alias("low")).groupBy("root").agg(F.min("low").alias("component_id"))
+    return own.join(lows, "root").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component of ``docs`` (doc_id, text and any others): the least by doc_id (null last) and a hash of the whole row. Rows that repeat an id but not the text are judged apart."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("did"), F.xxhash64(*columns).alias("row"), F.col("text").alias("text"))
+    own = rooted(save(fingerprints(keyed.select(F.col("did").alias("doc_id"), "row", "text"))), distance)
+    first = F.min(F.struct((F.col("doc_id") == -(1 << 63)).alias("none"), F.col("doc_id").alias("did"), "row"))
+    chosen = own.groupBy("fp", "root").agg(first.alias("m")).groupBy("root").agg(F.min("m").alias("m")).select("m.did", "m.row")
+    # Equal rows share id and hash: one of them stays. The join has dealt them to one place already.
+    kept = keyed.drop("text").join(chosen, ["did", "row"], "left_semi").dropDuplicates(["did", "row"])
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
