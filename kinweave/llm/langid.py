@@ -3,11 +3,12 @@
 Texts are cut into windows of ``WINDOW`` bytes; two gated recurrent layers read each window in either direction, every byte position gets language probabilities, and the
 means over a document's letter positions are its probabilities. The network is trained here, in numpy, by backpropagation through time.
 
-Training takes a bounded sample: per language the ``SAMPLE`` documents that come first by a hash of their id, and of each at most ``SAMPLE_CHARS`` characters.
+Training takes a bounded sample: per language (``MOST_LANGUAGES`` at most) the ``SAMPLE`` documents that come first by a hash of id and text, and of each at most ``SAMPLE_CHARS`` characters.
 Labels, sources and ids are no inputs of a prediction.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled documents everything is ``und``; documents with a null label are only predicted;
-null ids are never trained on; repeated rows get the same result; very long texts are read to their end, a few megabytes at a time.
+Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled documents there is no model and everything is ``und``; documents with a null label are only predicted;
+null ids are never trained on; repeated rows get the same result; equal probabilities go to the label that sorts first; very long texts are read to their end, a few megabytes at a time;
+more than ``MOST_LANGUAGES`` labels are an error; other columns are not read, and ``detect_rows`` returns them as they are under whatever names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from kinweave.llm.common import arrow, lean, slices
 
 WINDOW, HIDDEN, BATCH, STEPS, RATE = 64, 8, 128, 600, 0.01
 SAMPLE, SAMPLE_CHARS = 500, 600
+#: Labels that training accepts; more of them are an error, for each brings ``SAMPLE`` texts to the driver.
+MOST_LANGUAGES = 400
+#: A document in which no language has half of the letters' probability is in none of them.
+SURE = 0.5
 LANES, SLICE_BYTES = 2048, 2 << 20
 PAD = 256
 
@@ -206,15 +211,20 @@ def predict(model: Model | None, texts: list[bytes | None]) -> list[tuple[str, f
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
     """At most ``per_language`` labelled texts of each language (doc_id, text, lang), each at most ``chars`` characters from a place drawn by hash."""
-    draw = F.xxhash64(F.lit("sample"), "doc_id")
-    rows = docs.where("lang is not null and doc_id is not null and text is not null").withColumn("draw", draw)
+    draw = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    labelled = docs.where("lang is not null and doc_id is not null")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = [(r.lang, r.n) for r in sizes.limit(MOST_LANGUAGES + 1).collect()]
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels: clean the language column, or train on fewer of them")
+    if not found:
+        return []
+    # A hash prefix thins large languages to some four times the sample, so that the ranks below see a few thousand rows of each.
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * per_language / n))) for lang, n in found])
+    rows = labelled.where((F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20)) & F.col("text").isNotNull()).withColumn("draw", draw)
     rows = rows.select("lang", "draw", "doc_id", F.substr("text", (1 + F.pmod(draw, F.greatest(F.length("text") - chars, F.lit(1)))).cast("int"), F.lit(chars)).alias("part"))
-    # Ranks within parts of a language first, so that no task gets more than a few thousand rows of a large one.
-    kept, order = rows.withColumn("salt", F.pmod("draw", F.lit(61))), ["draw", "doc_id", "part"]
-    for keys in (["lang", "salt"], ["lang"]):
-        kept = kept.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= per_language)
-    kept = kept.select("lang", "k", "part").collect()
-    return [(lang, part.encode()) for lang, _, part in sorted(kept)]
+    kept = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "part"))).where(F.col("k") <= per_language)
+    return [(lang, part.encode()) for lang, _, part in sorted(kept.select("lang", "k", "part").collect())]
 
 
 def train(docs: DataFrame) -> Model | None:
