@@ -3,12 +3,13 @@
 Items become windows of ``WINDOW`` words (shorter items one window), windows become shingles of ``SHINGLE`` words. Documents are read once: of their shingles only those that
 the benchmark has are kept, with their places. Shingles are ordered by rarity in the corpus; to hold a whole window a document must hold
 its rarest shingle, so that one (a prefix of length one) is joined. Positional and length bounds fix where the window would have to begin and whether it fits,
-and the shingles that tile the window are then looked up at their exact places. Tokens are compared by 64-bit hashes of their words, two or more for each full window.
+and the shingles that tile the window are then looked up at their exact places, by 64-bit hashes. The few documents that pass are cut into words once more, and each claimed window is compared with them word by word.
 
-The benchmark's shingles are broadcast only if they are few; else that join is shuffled.
+The benchmark's shingles are broadcast up to ``HASH_ROWS``; beyond that the join with the corpus' shingles is shuffled.
 
 Defined cases: null and empty texts have no words; items without words are skipped; equal windows of several items count for each of them; repeated rows of a document get equal results; documents
-that share an id but not the text are kept apart; an empty benchmark hits nothing; an empty table gives no rows.
+that share an id but not the text are kept apart; of equally rare shingles the one with the least hash, then place, is the prefix; an empty benchmark hits nothing; an empty table gives no rows;
+other columns than doc_id, item_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WINDOW, SHINGLE = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands for "the document itself" among the shingles' hashes.
 SELF = 0
+#: Distinct shingles of the benchmark that are still broadcast, as single longs (some 64 bytes each in a hash table, 64 MB at most).
+HASH_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -33,6 +36,11 @@ def words(text: Column) -> Column:
     return F.transform(cut, lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(F.translate(w, upper, lower)))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """did, th, text: the id (null as the least long) and a hash of the text tell documents apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("did"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
+
+
 def _hashes(tokens: Column, k: int) -> Column:
     """Hashes of the k-word shingles, in order."""
     made = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k))))
@@ -53,20 +61,20 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
 
 
 def shingle_hits(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The documents' shingles that the benchmark has (did, th, n_words, k, at, h) and a row with k = 0 for each document itself."""
-    sizes = sorted(r[0] for r in tokens.select("k").distinct().collect()) or [SHINGLE]
-    worded = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("did"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
-    found = None
-    for k in reversed(sizes):
-        own = F.array(F.lit(SELF).cast("bigint")) if found is None else F.array().cast("array<bigint>")
-        rows = worded.select("did", "th", F.size("w").alias("n_words"), F.posexplode(F.concat(own, _hashes(F.col("w"), k))).alias("at", "h"))
-        shift = 1 if found is None else 0
-        wanted = tokens.where(F.col("k") == k).select("h").distinct()
-        if found is None:
-            wanted = wanted.union(docs.sparkSession.range(1).select(F.lit(SELF).cast("bigint").alias("h")))
-        part = rows.join(small(save(wanted.distinct())), "h", "left_semi")
-        part = part.select("did", "th", "n_words", F.when((F.col("at") == 0) & F.lit(bool(shift)), F.lit(0)).otherwise(F.lit(k)).alias("k"), (F.col("at") - shift).alias("at"), "h")
-        found = part if found is None else found.union(part)
+    """The documents' shingles that the benchmark has (did, th, n_words, k, at, h) and a row with k = 0 for each document itself. One pass, whatever lengths the items' shingles have."""
+    sizes = sorted((r[0] for r in tokens.select("k").distinct().collect()), reverse=True)
+    worded = _keyed(docs).select("did", "th", words(F.col("text")).alias("w"))
+    lists = F.concat(F.array(F.lit(SELF).cast("bigint")), *[_hashes(F.col("w"), k) for k in sizes])
+    rows = worded.select("did", "th", F.size("w").alias("n_words"), F.posexplode(lists).alias("pos", "h"))
+    wanted = tokens.select("h").union(docs.sparkSession.range(1).select(F.lit(SELF).cast("bigint").alias("h"))).distinct()
+    found = rows.join(small(save(wanted), HASH_ROWS), "h", "left_semi")
+    # The lists follow each other, so a place tells the length of its shingle.
+    k, at, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
+    for size in sizes:
+        upto = before + F.greatest(F.col("n_words") - size + 1, F.lit(0))
+        k, at, before = F.coalesce(k, F.when(F.col("pos") < upto, size)), F.coalesce(at, F.when(F.col("pos") < upto, F.col("pos") - before)), upto
+    none = F.col("pos") == 0
+    found = found.select("did", "th", "n_words", F.when(none, 0).otherwise(k).alias("k"), F.when(none, -1).otherwise(at).alias("at"), "h")
     return save(found)
 
 
@@ -86,11 +94,19 @@ def occurrences(hits: DataFrame, tokens: DataFrame) -> DataFrame:
     return there.groupBy("did", "th", "window", "size", "begin", "n_tiles").agg(F.count(F.lit(1)).alias("n")).where("n = n_tiles").select("did", "th", "begin", "size", "window")
 
 
+def verified(docs: DataFrame, there: DataFrame) -> DataFrame:
+    """The ``occurrences`` (saved) whose words really are the window's: the documents they lie in are cut into words once more. Saved."""
+    by_document = save(there.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "size", "window")).alias("claims")))
+    held = _keyed(docs).join(small(by_document), ["did", "th"]).select("did", "th", words(F.col("text")).alias("w"), "claims")
+    true = lambda c: F.array_join(F.slice("w", c["begin"] + 1, c["size"]), " ") == c["window"]
+    return save(held.select("did", "th", F.explode(F.filter("claims", true)).alias("c")).select("did", "th", "c.begin", "c.size", "c.window").distinct())
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) against ``benchmark`` (item_id, text): did, th, n_words, n_hit, n_items, item_ids for every document row."""
     tokens, owners = item_windows(benchmark)
     hits = shingle_hits(docs, tokens)
-    there = save(occurrences(hits, tokens))
+    there = verified(docs, save(occurrences(hits, tokens)))
     order = Window.partitionBy("did", "th").orderBy("begin", "end")
     spans = there.select("did", "th", "begin", (F.col("begin") + F.col("size")).alias("end")).distinct()
     upto = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
