@@ -7,7 +7,8 @@ window is cut at powers of two, largest first, so the last sequences carry no pa
 Tokenizing goes word by word through a bounded cache. That is exact for tokenizers whose pre-tokenizer never joins characters on both sides of ASCII white space
 and drops it (``word_bpe_49k``); for others pass ``by_word=False``.
 
-Defined cases: null and empty texts are one piece of the end id; repeated rows are packed as often as they occur; an empty table gives no rows.
+Defined cases: null and empty texts are one piece of the end id; repeated rows and ids are packed as often as they occur; a very long text is tokenized word by word; an empty table gives no rows;
+other columns than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from kinweave.llm.common import arrow, lean, save, slices
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 600_000
+#: Bytes of words and ids that a worker's cache holds at most, with ENTRY_BYTES for each entry's objects; longer words are never cached.
+CACHE_BYTES, ENTRY_BYTES, CACHED_WORD = 96 << 20, 150, 64
 
 _SIMPLE = re.compile(rb"([A-Za-z\x80-\xff]+)([.,:;!?|*#$%&()-]*)")
 #: Byte-level tokenizers' printable sign for each byte: the byte itself where it is printable, else the next free code point from 256.
@@ -43,7 +45,7 @@ _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 class Encoder(dict):
-    """Texts (UTF-8) to little-endian ids. As a dictionary it holds words' ids, at most ``CACHE_WORDS`` of them.
+    """Texts (UTF-8) to little-endian ids. As a dictionary it holds words' ids, ``CACHE_BYTES`` at most.
 
     Words of Latin letters and closing marks, nearly all there are, go to the tokenizer's model directly: letters and marks are
     a pre-token each, as the tokenizer itself would cut them. All others take the tokenizer's whole path.
@@ -57,6 +59,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_word = by_word
+        self.held = 0
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -81,14 +84,17 @@ class Encoder(dict):
             (ids,) = self._ids([word])
         elif m[2]:
             ids += self._piece(m[2])
-        self[word] = ids
+        if len(word) <= CACHED_WORD:
+            self.held += len(word) + len(ids) + ENTRY_BYTES
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = ids
         return ids
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
-        if len(self) > CACHE_WORDS:
-            self.clear()
         get = self.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
 
