@@ -1,9 +1,9 @@
 """Quality rules by document and by host.
 
 Counts are taken from every whole text; each rule's failures are summed by host; a host's failure rates are shrunk towards an empirical
-beta prior (moments over the hosts), and hosts whose shrunk rate of some rule exceeds its limit are turned down with all their documents.
+beta prior (moments over the hosts, less what drawing a host's few documents adds to the variance), and hosts whose shrunk rate of some rule exceeds its limit are turned down with all their documents.
 
-Defined cases: a null or empty text has no words and fails as too short; documents without a host get no host verdict; repeated rows count each; an empty table gives no rows.
+Defined cases: a null or empty text has no words and fails as too short; documents without a host get no host verdict; repeated rows count each; a rate equal to its limit passes; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -85,11 +85,14 @@ def host_verdicts(counted: DataFrame, rules: dict[str, tuple[str, float]] = HOST
     """One row per host: documents, each rule's shrunk failure rate, and ``host_ok``. ``counted``: a saved table."""
     hosts = save(counted.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"cast({sql} as long)")).alias(f"f_{k}") for k, (sql, _) in rules.items()]))
     # Moments over all hosts: a few sums come to the driver, whatever the number of hosts.
-    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), *[x for k in rules for x in (F.avg(F.col(f"f_{k}") / F.col("n")).alias(f"m_{k}"), F.var_pop(F.col(f"f_{k}") / F.col("n")).alias(f"v_{k}"))]).first()
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), *[x for k in rules for x in (F.avg(F.col(f"f_{k}") / F.col("n")).alias(f"m_{k}"), F.var_pop(F.col(f"f_{k}") / F.col("n")).alias(f"v_{k}"))], F.avg(1 / F.col("n")).alias("each")).first()
     rates = {}
     for k in rules:
         mean = min(max(sums[f"m_{k}"] or 0.0, 1e-4), 1 - 1e-4)
-        weight = min(max(mean * (1 - mean) / max(sums[f"v_{k}"] or 0.0, 1e-9) - 1, 2.0), 1000.0)
+        # The rates' variance is that of the hosts' own rates and what drawing n documents adds: e = 1/n on average, v = p (1 - p) e + v' (1 - e).
+        each, even = sums["each"] or 1.0, mean * (1 - mean)
+        between = max(((sums[f"v_{k}"] or 0.0) - even * each) / max(1 - each, 1e-9), even * 1e-6)
+        weight = max(even / between - 1, 0.0)
         rates[f"rate_{k}"] = (F.col(f"f_{k}") + mean * weight) / (F.col("n") + weight)
     judged = hosts.withColumns(rates)
     ok = F.lit(True)
@@ -115,8 +118,8 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     fails = ", ".join(f"CAST(({sql}) AS INT) AS x_{k}" for k, (sql, _) in HOST_RULES.items())
     sums = ", ".join(f"sum(x_{k}) AS f_{k}" for k in HOST_RULES)
-    means = ", ".join(f"least(greatest(avg(f_{k} / n), 1e-4), 1 - 1e-4) AS m_{k}, var_pop(f_{k} / n) AS v_{k}" for k in HOST_RULES)
-    weights = ", ".join(f"m_{k}, least(greatest(m_{k} * (1 - m_{k}) / greatest(v_{k}, 1e-9) - 1, 2.0), 1000.0) AS w_{k}" for k in HOST_RULES)
+    means = ", ".join(f"least(greatest(avg(f_{k} / n), 1e-4), 1 - 1e-4) AS m_{k}, var_pop(f_{k} / n) AS v_{k}" for k in HOST_RULES) + ", avg(1 / n) AS e"
+    weights = ", ".join(f"m_{k}, greatest(m_{k} * (1 - m_{k}) / greatest((v_{k} - m_{k} * (1 - m_{k}) * e) / greatest(1 - e, 1e-9), m_{k} * (1 - m_{k}) * 1e-6) - 1, 0.0) AS w_{k}" for k in HOST_RULES)
     ok = " AND ".join(f"(f_{k} + m_{k} * w_{k}) / (n + w_{k}) <= {limit}" for k, (_, limit) in HOST_RULES.items())
     return rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
