@@ -7,7 +7,8 @@ and then the HTTP block's chunked framing is undone.
 
 Defined cases: a null payload is empty; null page ids are written as an empty field and come back null; rows that repeat
 a page id with an equal payload are all responses if that id is the group's largest; a segment that is stored twice
-counts once; a group with a missing segment or a wrong total has ``valid`` false and a null payload; an empty table gives an empty archive.
+counts once; a group with a missing segment or a wrong total has ``valid`` false and a null payload; an empty table gives an empty archive;
+other columns than page_id, url and html, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import arrow, lean, save, scratch, slices, small
 
 SEGMENT_BYTES = 64 << 10
+#: Records of an archive at most; with the segments' size that bounds what a reader's task holds (some 256 MB before compression, mostly far less).
+ARCHIVE_RECORDS = 4096
 CHUNK_BYTES = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 
@@ -99,8 +102,10 @@ def records(page_id: int | None, url: str | None, payload: bytes, owner: tuple[i
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _record_id(page_id, digest, str(k))), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)], part)
 
 
-def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Writes ``pages`` (page_id, url, html) as gzipped WARC files, one for each input partition.
+def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_records: int = ARCHIVE_RECORDS, compression: str = "gzip") -> None:
+    """Writes ``pages`` (page_id, url, html) as WARC files of at most ``archive_records`` records.
+
+    A gzipped file is one stream, as Spark writes it; for readers that want a member for each record use ``compression="none"``.
 
     Equal payloads are found by their digest in a table of groups of two or more only, which is broadcast if
     small; else the join is shuffled, and AQE splits a hot digest.
@@ -119,7 +124,7 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
         return arrow(each(), _RECORD, width=lambda r: len(r[0]))
 
     written = tagged.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    written.write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", archive_records).text(path)
 
 
 def parse(stream) -> Iterator[tuple]:
