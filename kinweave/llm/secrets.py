@@ -1,14 +1,16 @@
 """Secrets by a battery of randomness tests, in DataFrame functions alone.
 
 Base spans (assignments, access keys, long hexadecimal runs) always count. Other long tokens are proposals: each gets the smallest encoding that holds
-its characters (hex, base32, lower-case base36, base64); against "drawn evenly from that alphabet" run a chi-squared test of the symbols' counts, a runs test about the alphabet's
-middle and a lag-one serial correlation test; the battery's p-value is three times the least of them, at most 1. Even draws give even p-values, language gives p-values near 0.
+its characters (``ENCODINGS``); a token that fits none, as with signs of both base64 variants, is not random. Against "drawn evenly from that alphabet" run a chi-squared test of the symbols' counts, a runs test about the
+alphabet's middle and a lag-one serial correlation test. Tokens are short, so the chi-squared statistic (a count of equal pairs of symbols) is compared with a gamma
+distribution that has its exact first three moments, and counts are taken at the middle of their step; the battery's p-value is that of the least of the three. Even draws give even p-values, language gives p-values near 0.
 
 Which p-value is high enough follows from all proposals of the corpus, by bands of length: in each band the share of even draws is estimated from
-the upper half of the p-values (Storey), and the threshold is the lowest bin above which the estimated share of false discoveries is at most ``FDR``. Bands with
-few proposals fall back on a fixed threshold. Only bands x bins counts come to the driver.
+the upper half of the p-values (Storey), and the threshold is the lowest bin above which the estimated share of false discoveries is at most ``FDR``. A band's counts are joined by ``WEIGHT`` tokens spread as in all
+bands, and all bands by ``PRIOR`` tokens, half even draws, half language: the same rule at every size, in which a band's own tokens gain weight as they grow in number. Only bands x bins counts come to the driver.
 
-Defined cases: null texts are empty; repeated rows give equal results (and each counts in its band); a corpus without proposals has base spans only; an empty table gives no rows.
+Defined cases: null texts are empty; repeated rows give equal results (and each counts in its band); a p-value equal to the threshold passes; very long texts and tokens are read to their end; a corpus without proposals has base spans only;
+columns of the input named ``base`` or ``spans`` are replaced, all others kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,33 +30,38 @@ HEX = r"[0-9a-f]{24,}+"
 LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 
 KINDS = ["assign", "access", "hex", "random"]
-#: Encodings in order of size, with their alphabets.
+#: Encodings from the smallest, with their alphabets.
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 BANDS = [24, 32, 48, 64, 128]  # upper ends, exclusive; longer ones are the last band
-BINS, FDR, FEW, FIXED = 20, 0.05, 40, 0.05
+BINS, FDR, WEIGHT, PRIOR = 20, 0.05, 40, 40
 
 
-def _two_sided(z: Column) -> Column:
-    """The normal distribution's two-sided p-value, by a logistic form that is right to 2e-4."""
-    a = F.least(F.abs(z), F.lit(12.0))
-    return 2 / (1 + F.exp(1.5976 * a + 0.07056 * a * a * a))
+def _below(z: Column) -> Column:
+    """The normal distribution's share below ``z``, by a logistic form that is right to 2e-4."""
+    a = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
+    return 1 / (1 + F.exp(-(1.5976 * a + 0.07056 * a * a * a)))
+
+
+def _two_sided(lower: Column) -> Column:
+    return 2 * F.least(lower, 1 - lower)
 
 
 def _alphabet(token: Column) -> Column:
-    out = F.lit(ENCODINGS["base64"])
-    for name in ("base36", "base32", "HEX", "hex"):
-        out = F.when(token.rlike(f"^[{ENCODINGS[name]}]+$"), F.lit(ENCODINGS[name])).otherwise(out)
-    return out
+    """The smallest alphabet that holds the token, null if there is none."""
+    return F.coalesce(*[F.when(token.rlike(f"^[{a.replace('-', '')}{'-' if '-' in a else ''}]+$"), F.lit(a)) for a in ENCODINGS.values()])
 
 
 def battery(token: Column) -> Column:
-    """The battery's p-value of a token: near 0 where it is not drawn evenly from its encoding's alphabet."""
+    """The battery's p-value of a token of 4 characters or more: near 0 where it is not drawn evenly from its encoding's alphabet, 0 where it has none."""
     start = F.lit(0.0)
 
     def placed(s: Column) -> Column:
@@ -65,22 +72,37 @@ def battery(token: Column) -> Column:
     def summed(s: Column) -> Column:
         high = F.transform(s["places"], lambda p: (p > s["k"] / 2).cast("int"))
         middle = F.aggregate(s["places"], start, lambda a, p: a + p) / s["n"]
-        return let(F.struct(s.alias("s"), high.alias("high"), middle.alias("middle"), F.aggregate(high, start, lambda a, h: a + h).alias("ones")), tests)
+        return let(F.struct(s["n"].alias("n"), s["k"].alias("k"), s["places"].alias("places"), s["squares"].alias("squares"), high.alias("high"), middle.alias("middle"), F.aggregate(high, start, lambda a, h: a + h).alias("ones")), measured)
 
-    def tests(t: Column) -> Column:
-        n, k, places, high, ones = t["s"]["n"], t["s"]["k"], t["s"]["places"], t["high"], t["ones"]
+    def measured(t: Column) -> Column:
+        n, p = t["n"], 1 / t["k"]
         pairs = F.sequence(F.lit(1), n.cast("int") - 1)
-        z_chi = (t["s"]["squares"] * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        zeros = n - ones
-        turns = F.aggregate(pairs, F.lit(1.0), lambda a, i: a + (F.get(high, i) != F.get(high, i - 1)).cast("double"))
-        spread = 2 * ones * zeros * (2 * ones * zeros - n) / (n * n * (n - 1))
-        z_runs = F.when(spread > 0, (turns - 1 - 2 * ones * zeros / n) / F.sqrt(spread)).otherwise(F.lit(12.0))
-        power = F.aggregate(places, start, lambda a, p: a + (p - t["middle"]) * (p - t["middle"]))
-        lagged = F.aggregate(pairs, start, lambda a, i: a + (F.get(places, i) - t["middle"]) * (F.get(places, i - 1) - t["middle"]))
-        z_serial = F.when(power > 0, lagged / power * F.sqrt(n)).otherwise(F.lit(12.0))
-        return F.least(3 * F.least(_two_sided(z_chi), _two_sided(z_runs), _two_sided(z_serial)), F.lit(1.0))
-
-    return let(F.struct(token.alias("token"), _alphabet(token).alias("alphabet")), placed)
+        # Equal pairs of symbols: mean, deviation and skewness of their number, all exact.
+        many, unlike = n * (n - 1) / 2, p * (1 - p)
+        third = many * unlike * (1 - 2 * p) + n * (n - 1) * (n - 2) * p * unlike
+        turns = F.aggregate(pairs, F.lit(1.0), lambda a, i: a + (F.get(t["high"], i) != F.get(t["high"], i - 1)).cast("double"))
+        power = F.aggregate(t["places"], start, lambda a, x: a + (x - t["middle"]) * (x - t["middle"]))
+        lagged = F.aggregate(pairs, start, lambda a, i: a + (F.get(t["places"], i) - t["middle"]) * (F.get(t["places"], i - 1) - t["middle"]))
+        both = 2 * t["ones"] * (n - t["ones"])
+        made = {"n": n, "equal": (t["squares"] - n) / 2, "mean": many * p, "deviation": F.sqrt(many * unlike), "skew": third / F.pow(many * unlike, F.lit(1.5)), "turns": turns, "both": both, "power": power, "lagged": lagged}
+        return let(F.struct(*[v.alias(k) for k, v in made.items()]), tested)
+
+    def tested(t: Column) -> Column:
+        n = t["n"]
+
+        def gamma(count: Column) -> Column:
+            # Wilson and Hilferty's cube root of a gamma variate with this skewness.
+            cube = F.cbrt(F.greatest(1 + (count - t["mean"]) / t["deviation"] * t["skew"] / 2, F.lit(0.0)))
+            return _below((cube - 1 + t["skew"] * t["skew"] / 36) * 6 / t["skew"])
+
+        chi = (gamma(t["equal"] + 0.5) + gamma(t["equal"] - 0.5)) / 2
+        spread = F.sqrt(F.greatest(t["both"] * (t["both"] - n) / (n * n * (n - 1)), F.lit(1e-9)))
+        runs = lambda r: _below((r - 1 - t["both"] / n) / spread)
+        turned = F.when(t["both"] > 0, (runs(t["turns"] + 0.5) + runs(t["turns"] - 0.5)) / 2).otherwise(F.lit(0.0))
+        serial = F.when(t["power"] > 0, _below((t["lagged"] / t["power"] + 1 / n) * n * F.sqrt(n - 1) / (n - 2))).otherwise(F.lit(0.0))
+        return let(F.least(_two_sided(chi), _two_sided(turned), _two_sided(serial)), lambda least: 1 - (1 - least) * (1 - least) * (1 - least))
+
+    return let(F.struct(token.alias("token"), _alphabet(token).alias("alphabet")), lambda s: F.when(s["alphabet"].isNull(), F.lit(0.0)).otherwise(placed(s)))
 
 
 def _band(size: Column) -> Column:
@@ -91,8 +113,9 @@ def _band(size: Column) -> Column:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """``docs`` (any columns and ``body``): without the text, but with ``base`` spans and ``rest``, the other proposals with band and p-value."""
-    keep, text = [F.col(f"`{c}`") for c in docs.columns if c != "body"], F.col("body")
+    """``docs`` (any columns and ``body``): ``row`` with all columns but the text, ``base`` spans and ``rest``, the other proposals with band and p-value."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("body", "base", "spans")]
+    docs, text = docs.select(F.struct(F.lit(1).alias("_"), *others).alias("row"), F.col("body")), F.col("body")
     ways = {
         "assign": (ASSIGN, text.rlike("[:=]")), "access": (ACCESS, F.contains(text, F.lit("AKIA"))),
         "hex": (HEX, text.rlike("[0-9a-f]{24}")), "random": (LONG, text.rlike("[A-Za-z0-9+/_-]{20}")),
@@ -107,37 +130,34 @@ def describe(docs: DataFrame) -> DataFrame:
     free = F.filter("c_random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     docs = docs.withColumn("c_random", free)
     rest = F.transform("c_random", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _band(F.length(s["hit"])).alias("band"), battery(F.rtrim(s["hit"], F.lit("="))).alias("p")))
-    return docs.select(*keep, "base", rest.alias("rest"))
+    return docs.select("row", "base", rest.alias("rest"))
+
+
+def limits_of(counts: list[list[int]]) -> list[float]:
+    """The least p-value of a discovery in each band, from the proposals by band and bin."""
+    every = [sum(c[k] for c in counts) + PRIOR / 2 / BINS + (PRIOR / 2 if k == 0 else 0) for k in range(BINS)]
+    limits = []
+    for own in counts:
+        spread = [own[k] + WEIGHT * every[k] / sum(every) for k in range(BINS)]
+        even = min(2 * sum(spread[BINS // 2 :]), sum(spread))
+        false = lambda k: 1 - min(1.0, even * (1 - k / BINS) / sum(spread[k:]))  # noqa: B023, E731
+        limits.append(next((k / BINS for k in range(1, BINS) if false(k) <= FDR), 1.01))
+    return limits
 
 
-def thresholds(described: DataFrame) -> dict[int, float]:
-    """The least p-value of a discovery in each band of length."""
+def thresholds(described: DataFrame) -> list[float]:
     rows = described.select(F.explode("rest").alias("r")).groupBy(F.col("r.band").alias("band"), F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
-    limits = {}
-    for band in range(len(BANDS) + 1):
-        counts = [sum(n for b, k, n in rows if b == band and k == own) for own in range(BINS)]
-        total = sum(counts)
-        if total < FEW:
-            limits[band] = FIXED
-            continue
-        even = min(2 * sum(counts[BINS // 2 :]), total)
-        limits[band] = 1.01
-        for k in range(1, BINS):
-            chosen = sum(counts[k:])
-            if chosen and 1 - min(1.0, even * (1 - k / BINS) / chosen) <= FDR:
-                limits[band] = k / BINS
-                break
-    return limits
+    found = {(r[0], r[1]): r[2] for r in rows}
+    return limits_of([[found.get((b, k), 0) for k in range(BINS)] for b in range(len(BANDS) + 1)])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns and ``body``, not null) with ``base`` and all ``spans`` in place of the text."""
     described = save(describe(docs))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "body"]
-    limits = thresholds(described)
-    limit = lambda band: F.get(F.array(*[F.lit(limits[b]) for b in sorted(limits)]), band)
-    more = tagged(F.filter("rest", lambda s: s["p"] >= limit(s["band"])), KINDS[3], 3)
-    return described.select(*keep, "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    limits = F.array(*map(F.lit, thresholds(described)))
+    more = tagged(F.filter("rest", lambda s: s["p"] >= F.get(limits, s["band"])), KINDS[3], 3)
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("body", "base", "spans")]
+    return described.select(*kept, "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
