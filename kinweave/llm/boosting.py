@@ -85,7 +85,7 @@ class Boosted:
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The lowest threshold above which held-out rows reach ``precision``."""
-    for t in np.linspace(0.5, 0.99, 50):
+    for t in np.linspace(0.05, 0.99, 95):
         chosen = p >= t
         if chosen.any() and y[chosen].mean() >= precision:
             return float(t)
