@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import save, small
+from kinweave.llm.spans import let
 
 WINDOW, SHINGLE = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -96,10 +97,13 @@ def occurrences(hits: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, there: DataFrame) -> DataFrame:
     """The ``occurrences`` (saved) whose words really are the window's: the documents they lie in are cut into words once more. Saved."""
-    by_document = save(there.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "size", "window")).alias("claims")))
-    held = _keyed(docs).join(small(by_document), ["did", "th"]).select("did", "th", words(F.col("text")).alias("w"), "claims")
-    true = lambda c: F.array_join(F.slice("w", c["begin"] + 1, c["size"]), " ") == c["window"]
-    return save(held.select("did", "th", F.explode(F.filter("claims", true)).alias("c")).select("did", "th", "c.begin", "c.size", "c.window").distinct())
+    by_document = there.groupBy("did", "th").agg(F.collect_set(F.struct("begin", "size", "window")).alias("claims"))
+    # Only the documents' keys are broadcast, if they are few; the claims, of any size, meet the few documents in a shuffle.
+    keys = small(save(there.select("did", "th").distinct()))
+    held = _keyed(docs).join(keys, ["did", "th"], "left_semi").join(by_document, ["did", "th"])
+    # The words are bound once; as a column they would be copied into the lambda and cut anew for every claim.
+    true = let(words(F.col("text")), lambda w: F.filter("claims", lambda c: F.array_join(F.slice(w, c["begin"] + 1, c["size"]), " ") == c["window"]))
+    return save(held.select("did", "th", F.explode(true).alias("c")).select("did", "th", "c.begin", "c.size", "c.window").distinct())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ PIECES = [
 def texts(n=160, seed=4):
     rng = random.Random(seed)
     passage = " ".join(f"w{rng.randrange(40)}" for _ in range(70))
-    out = [None, "", " \n\t ", "one", "one two three", "a " * 400, passage, passage + " tail", "intro " + passage, "x" * 70000 + " end", "b c " * 9000]
+    out = [None, "", " \n\t ", "one", "one two three", "a " * 400, passage, passage + " tail", "intro " + passage, "x" * 70000 + " end", "b c " * 1500]
     while len(out) < n:
         t = rng.choice(["", " "]).join(rng.choice(PIECES) + rng.choice(["", " "]) for _ in range(rng.randint(0, 60)))
         out.append(rng.choice([t, t + " " + passage[rng.randrange(60) :], rng.choice(out) or ""]))
