@@ -44,7 +44,7 @@ OTHER = r"(?i)(?:\b(?:version|order|isbn|issn|page|vol|figure|table|section|invo
 UNITS = r"(?i)^\s*(?:%|€|\$|(?:kg|km|cm|mm|gb|mb|ms|eur|usd|euros?|dollars?|units?|pieces?|items?|copies|pages?|points|people|rows|bytes|times|years?)\b)"
 INSIDE = r"[A-Za-z0-9_]"
 
-FEATURES = ["digits", "size", "blanks", "seps", "groups", "plus", "paren", "dots", "slash", "lead", "last", "luhn", "calls", "owns", "other", "units", "inside", "quoted", "isdate", "contact"]
+FEATURES = ["digits", "size", "blanks", "seps", "groups", "plus", "paren", "dots", "slash", "lead", "last", "luhn", "calls", "owns", "other", "units", "inside", "quoted", "isdate", "spelt", "contact"]
 PRECISION = 0.97
 
 
@@ -100,7 +100,7 @@ def _features(s: Column, text: Column, contact: bool) -> Column:
         "slash": flag(F.contains(hit, F.lit("/"))), "lead": F.length(F.regexp_extract(hit, "[0-9]+", 0)), "last": F.length(F.regexp_extract(hit, "[0-9]+$", 0)),
         "luhn": flag(F.length(digits).between(12, 19) & luhn(digits)), "calls": flag(before.rlike(CALLS)), "owns": flag(before.rlike(OWNS)), "other": flag(before.rlike(OTHER)),
         "units": flag(after.rlike(UNITS)), "inside": flag(before.rlike(INSIDE + "$") | after.rlike("^" + INSIDE)), "quoted": flag(before.rlike("[\"'=/&?:#-]$")),
-        "isdate": flag(hit.rlike(r"^(?:(?:19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]|[0-3]?[0-9][-./ ][0-3]?[0-9][-./ ](?:19|20)[0-9]{2})")), "contact": F.lit(float(contact)),
+        "isdate": flag(hit.rlike(r"^(?:(?:19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]|[0-3]?[0-9][-./ ][0-3]?[0-9][-./ ](?:19|20)[0-9]{2})")), "spelt": flag(hit.rlike(r"[\[({]dot[\])}]|\.[A-Za-z]")), "contact": F.lit(float(contact)),
     }
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[v.cast("double").alias(k) for k, v in made.items()])
 
@@ -149,7 +149,8 @@ def sentences(words: dict[str, list[str]], n: int = 2400, seed: int = 11) -> lis
             label, text = 1, f"{any_of('owning')} {rng.choice(unclear[4:8])()}"
         elif way < 0.56:
             at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" {at} ", " {dot} ")])
-            label, text = 1, f"{any_of('words')}.{any_of('words')}{at}{any_of('hosts')}{dot}{any_of('ends')}"
+            own = rng.choice([any_of("words"), f"{any_of('words')}.{any_of('words')}", f"{any_of('words')}{d(2)}", rng.choice("abcdefgh")])
+            label, text = 1, f"{own}{at}{rng.choice([any_of('hosts'), any_of('words')[:2]])}{dot}{any_of('ends')}"
         elif way < 0.59:
             at = rng.choice(["[at]", "(at)"])
             label, text = 0, f"{any_of('words')} {at} {any_of('words')}. {any_of('words')}"
