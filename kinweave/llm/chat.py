@@ -8,7 +8,8 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles a
 backslash, so no control string can occur there; reading takes one away. In roles backslash and newline are escaped too.
 
 Defined cases: a null role, text or score is empty or 0; a message whose parent is null or absent is a root; of messages
-that repeat a (tree, node) key the smallest row counts; messages on a cycle have no root and are left out; trees with a null id form one tree; no rows, no paths.
+that repeat a (tree, node) key the smallest row counts; messages on a cycle have no root and are left out; trees with a null id form one tree; no rows, no paths; ties go to the
+deeper leaf, then the least node id; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
