@@ -6,6 +6,10 @@ all but d blocks at most, so such pairs share a grid cell (the counts of some ``
 compared by total count, by Manhattan distance and then exactly; a cell gives a spanning forest of its links, never all its pairs. Cells over ``CELL``
 fingerprints are dealt out as pairs of sub-blocks, so no task holds more than two of them.
 
+``keep_one`` asks for texts whose sets of five-word shingles have a similarity of 0.8 or more. Such texts differ in too many of 64 bits for one grid, so it takes
+fingerprints of ``PARTS`` words, each from hashes of its own: two link where some word differs in at most ``REACH`` bits (a grid for each word) and all words together differ in
+at most the share of bits that the similarity leaves (``bits_for``), which is checked before a cell's forest is made.
+
 Links join to components by alternating large-star and small-star rounds over distinct fingerprints.
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; fewer words than a shingle make one shingle; repeated rows and equal texts share a
@@ -15,8 +19,9 @@ fingerprint and a component, whose id is the smallest non-null doc_id (null if n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, prod
 
 import numpy as np
 import pyarrow as pa
@@ -29,29 +34,66 @@ from kinweave.llm.common import arrow, lean, save, slices
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 SEGMENT_BITS, BLOCKS = 2, 7
 CELL = 8192
+NEAR_SHINGLE, SIMILARITY, PARTS, REACH = 5, 0.8, 3, 6
+
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
 
 _LOWER = bytes(range(256)).lower()
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned SimHash of a text: a bit is set where over half of the shingles' hashes have it."""
+def shingle_hashes(raw: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The shingles' hashes, repeats included."""
     words = raw.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = len(words) - shingle + 1
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n < 2:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = ends[:n] - np.fromiter(map(len, words[:n]), np.int64, n) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], ">u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set where over half of the hashes have them; zero without hashes."""
+    ones, raw = np.zeros(64, np.int64), hashes.astype(">u8")
+    for at in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned SimHash of a text: a bit is set where over half of the shingles' hashes have it."""
+    return majority(shingle_hashes(raw, shingle, seed))
+
+
+def remixed(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Hashes for another word of a fingerprint; the first word takes them as they are."""
+    for _ in range(2 if part else 0):
+        hashes = (hashes ^ (hashes >> np.uint64(32)) ^ np.uint64(part)) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(32)) if part else hashes
+
+
+def wide_fingerprint(raw: bytes, shingle: int = NEAR_SHINGLE, parts: int = PARTS, seed: int = SEED) -> list[int]:
+    """``parts`` words of the SimHash of a text's set of shingles."""
+    hashes = np.unique(shingle_hashes(raw, shingle, seed))
+    return [majority(remixed(hashes, k)) for k in range(parts)]
+
+
+def bits_for(similarity: float, bits: int) -> int:
+    """In how many of ``bits`` bits sets of that Jaccard similarity differ on average: their angle's share of a half turn."""
+    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def node_of(words: np.ndarray) -> int:
+    """One signed long for a fingerprint of one word or more."""
+    return int(words.view(np.int64)[0]) if len(words) == 1 else _signed(xxhash.xxh64_intdigest(words.tobytes()))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -61,14 +103,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         def each():
             for ids, rows, texts in slices(batches, 64):
                 for d, r, t in zip(ids, rows, texts, strict=True):
-                    fp = fingerprint(t or b"")
-                    yield d, r, fp - (fp >> 63 << 64)
+                    yield d, r, _signed(fingerprint(t or b""))
 
         return arrow(each(), _PRINTS)
 
     return lean(docs).select(F.col("doc_id").cast("long"), F.col("row").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
+def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE, parts: int = PARTS) -> DataFrame:
+    """doc_id, row, fp (a long for the whole), w0, w1, ... of ``docs`` (doc_id, row, text)."""
+    words = [f"w{k}" for k in range(parts)]
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "fp", *words)])
+
+    def run(batches):
+        def each():
+            for ids, rows, texts in slices(batches, 64):
+                for d, r, t in zip(ids, rows, texts, strict=True):
+                    own = np.array(wide_fingerprint(t or b"", shingle, parts), np.uint64)
+                    yield d, r, node_of(own), *own.view(np.int64).tolist()
+
+        return arrow(each(), schema)
+
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("row").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+
+
 def embed(fp: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:
     """Bit counts of the 64 / bits segments, as uint8."""
     shifts = np.arange(0, 64, bits, dtype=np.uint64)
@@ -82,13 +140,13 @@ def cells(fp: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS, bits:
     code = [np.zeros(len(fp), np.uint64) for _ in range(blocks)]
     for segment, block in enumerate(of):
         code[block] = code[block] * np.uint64(bits + 1) + vectors[:, segment]
-    radix = [np.uint64((bits + 1) ** int((of == b).sum())) for b in range(blocks)]
-    keys = []
+    radix = [(bits + 1) ** int((of == b).sum()) for b in range(blocks)]
+    span, keys = prod(sorted(radix)[distance:]), []
     for k, chosen in enumerate(combinations(range(blocks), blocks - distance)):
-        key = np.full(len(fp), k, np.uint64)
+        key = np.zeros(len(fp), np.uint64)
         for b in chosen:
-            key = key * radix[b] + code[b]
-        keys.append(key)
+            key = key * np.uint64(radix[b]) + code[b]
+        keys.append(key + np.uint64(k * span))
     return np.stack(keys, 1)
 
 
@@ -111,12 +169,15 @@ class Forest:
         return x != y
 
 
-def links(fp: np.ndarray, distance: int = DISTANCE, rows: int = 256) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, as places."""
+Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def links(fp: np.ndarray, distance: int = DISTANCE, rows: int = 256, accept: Accept | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fingerprints, as places; ``accept`` tells which pairs of places may link."""
     total = np.bitwise_count(fp)
     order = np.argsort(total, kind="stable")
     fp, total = fp[order], total[order]
-    vectors = embed(fp, 8)  # coarser segments: a bound too, and quicker
+    vectors = embed(fp, 8 if distance <= DISTANCE else 4)  # coarser segments: a bound too, and quicker
     high = np.searchsorted(total, total + distance, "right")
     forest, found = Forest(len(fp)), []
     for at in range(0, len(fp), rows):
@@ -131,14 +192,18 @@ def links(fp: np.ndarray, distance: int = DISTANCE, rows: int = 256) -> list[tup
         keep = y > x
         x, y = x[keep] + at, y[keep] + at
         exact = np.bitwise_count(fp[x] ^ fp[y]) <= distance
-        for i, j in zip(x[exact].tolist(), y[exact].tolist(), strict=True):
+        x, y = order[x[exact]], order[y[exact]]
+        if accept:
+            good = accept(x, y)
+            x, y = x[good], y[good]
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
             if forest.join(i, j):
-                found.append((int(order[i]), int(order[j])))
+                found.append((i, j))
     return found
 
 
-def _close(keys: np.ndarray, fp: np.ndarray, distance: int, most: int = 24):
-    """Edges within runs of equal keys (both sorted by key)."""
+def _close(keys: np.ndarray, fp: np.ndarray, distance: int, accept: Accept | None = None, most: int = 24):
+    """Links, as places, within runs of equal keys (all sorted by key)."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     size = np.diff(edge)
     # Runs of a few: all at once, by the distance of their places; the bound first here too.
@@ -151,11 +216,12 @@ def _close(keys: np.ndarray, fp: np.ndarray, distance: int, most: int = 24):
         a, b = vectors[i], vectors[i + shift]
         i = i[(np.maximum(a, b) - np.minimum(a, b)).sum(1) <= distance]
         i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= distance]
-        yield from zip(fp[i].view(np.int64).tolist(), fp[i + shift].view(np.int64).tolist(), strict=True)
+        i = i[accept(i, i + shift)] if accept else i
+        yield from zip(i.tolist(), (i + shift).tolist(), strict=True)
     for k in np.flatnonzero(size > most):
-        own = fp[edge[k] : edge[k + 1]]
-        for i, j in links(own, distance):
-            yield int(own[i : i + 1].view(np.int64)[0]), int(own[j : j + 1].view(np.int64)[0])
+        low, high = int(edge[k]), int(edge[k + 1])
+        for i, j in links(fp[low:high], distance, accept=accept and (lambda x, y: accept(x + low, y + low))):  # noqa: B023
+            yield low + i, low + j
 
 
 def blocks_for(n: int, distance: int = DISTANCE) -> int:
@@ -171,44 +237,57 @@ def blocks_for(n: int, distance: int = DISTANCE) -> int:
     return min(range(max(BLOCKS, distance + 1), distance + 13), key=cost)
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp, saved) within ``distance`` bits.
+def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL, limit: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (``prints``: a long for each of their words; saved) of which some word differs in at most ``distance`` bits, and all words together in at most ``limit``.
 
-    The cells' copies are made anew where they are needed: that costs less than writing and reading them.
+    The ends are the words themselves where fingerprints have one, else ``node_of`` them. The cells' copies are made anew where they are needed: that costs less than writing and reading them.
     """
-    blocks = blocks or blocks_for(prints.count(), distance)
-    width = len(list(combinations(range(blocks), blocks - distance)))
+    blocks, names = blocks or blocks_for(prints.count(), distance), prints.columns
+    width, parts = comb(blocks, distance), len(names)
+    schema = pa.schema([(c, pa.int64()) for c in ("cell", *names)])
+
+    def stacked(b: pa.RecordBatch, at: int) -> np.ndarray:
+        return np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(at, at + parts)], 1).view(np.uint64)
 
     def spread(batches):
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 4096):
-                own = fp[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(cells(own, distance, blocks).reshape(-1).view(np.int64)), pa.array(np.repeat(own.view(np.int64), width))], names=["cell", "fp"])
-
-    placed = prints.mapInArrow(spread, "cell long, fp long")
+            for at in range(0, b.num_rows, 4096):
+                own = stacked(b.slice(at, 4096), 0)
+                for k in range(parts):
+                    # At most 3^32 vectors and some thousand choices of blocks: far below 2^63.
+                    keys = cells(own[:, k], distance, blocks) * np.uint64(parts) + np.uint64(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(own[:, j].view(np.int64), width)) for j in range(parts))], schema=schema)
+
+    placed = prints.mapInArrow(spread, ", ".join(f"{f.name} long" for f in schema))
     counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     hot = save(counted.where(F.col("n") > cell))
-    schema = placed.schema
+
+    def judged(part: np.ndarray, keys: np.ndarray, words: np.ndarray):
+        def accept(i, j):
+            return np.bitwise_count(words[i] ^ words[j]).sum(1) <= limit
+
+        for i, j in _close(keys, words[np.arange(len(words)), part], distance, accept if limit is not None else None):
+            yield node_of(words[i]), node_of(words[j])
 
     def close(batches):
         # Rows come sorted by key; a key's last rows wait for the next batch.
         def each():
-            key = fps = np.empty(0, np.int64)
+            key, cell_of, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, parts), np.uint64)
             for b in batches:
                 key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
-                fps = np.concatenate([fps, b.column(1).to_numpy(zero_copy_only=False)])
+                cell_of = np.concatenate([cell_of, b.column(1).to_numpy(zero_copy_only=False)])
+                words = np.concatenate([words, stacked(b, 2)])
                 cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
                 if cut:
-                    yield from _close(key[:cut], fps[:cut].view(np.uint64), distance)
-                    key, fps = key[cut:], fps[cut:]
+                    yield from judged(cell_of[:cut], key[:cut], words[:cut])
+                    key, cell_of, words = key[cut:], cell_of[cut:], words[cut:]
             if len(key):
-                yield from _close(key, fps.view(np.uint64), distance)
+                yield from judged(cell_of, key, words)
 
         return arrow(each(), _EDGES)
 
     def closed(rows: DataFrame, key: str) -> DataFrame:
-        return rows.repartition(key).sortWithinPartitions(key).select(key, "fp").mapInArrow(close, "a long, b long")
+        return rows.repartition(key).sortWithinPartitions(key).select(key, F.pmod("cell", F.lit(parts)).cast("long").alias("part"), *names).mapInArrow(close, "a long, b long")
 
     n_hot = hot.count()
     if not n_hot:
@@ -216,9 +295,9 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None =
     # Hot cells: sub-blocks of about half a cell's size, each pair of sub-blocks by itself.
     hot = F.broadcast(hot) if n_hot <= 100_000 else hot
     plain = closed(placed.join(hot.select("cell"), "cell", "left_anti"), "cell")
-    parts = placed.join(hot, "cell").withColumn("k", F.ceil(F.col("n") * 2 / cell).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")))
-    pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("pair", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
-    return plain.union(closed(pairs.select("pair", "fp"), "pair")).distinct()
+    dealt = placed.join(hot, "cell").withColumn("k", F.ceil(F.col("n") * 2 / cell).cast("long")).withColumn("own", F.pmod(F.xxhash64(*names), F.col("k")))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("pair", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    return plain.union(closed(pairs.select("pair", "cell", *names), "pair")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,10 +320,10 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def rooted(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``prints`` (any columns and fp; saved) with ``root``, equal for all rows of a component."""
-    distinct = save(prints.select("fp").distinct())
-    roots = save(components(near_links(distinct, distance)))
+def rooted(prints: DataFrame, distance: int = DISTANCE, words: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """``prints`` (any columns and fp, with the fingerprint's ``words`` where they are several; saved) with ``root``, equal for all rows of a component."""
+    distinct = save(prints.select("fp", *(words or [])).distinct())
+    roots = save(components(near_links(distinct.select(*(words or ["fp"])), distance, limit=limit)))
     named = save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     return prints.join(named, "fp")
 
@@ -257,11 +336,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return own.join(lows, "root").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, reach: int = REACH) -> DataFrame:
     """One row of each component of ``docs`` (doc_id, text and any others): the least by doc_id (null last) and a hash of the whole row. Rows that repeat an id but not the text are judged apart."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("did"), F.xxhash64(*columns).alias("row"), F.col("text").alias("text"))
-    own = rooted(save(fingerprints(keyed.select(F.col("did").alias("doc_id"), "row", "text"))), distance)
+    prints = save(wide_fingerprints(keyed.select(F.col("did").alias("doc_id"), "row", "text"), shingle, parts))
+    own = rooted(prints, reach, [f"w{k}" for k in range(parts)], bits_for(similarity, 64 * parts))
     first = F.min(F.struct((F.col("doc_id") == -(1 << 63)).alias("none"), F.col("doc_id").alias("did"), "row"))
     chosen = own.groupBy("fp", "root").agg(first.alias("m")).groupBy("root").agg(F.min("m").alias("m")).select("m.did", "m.row")
     # Equal rows share id and hash: one of them stays. The join has dealt them to one place already.

@@ -74,6 +74,29 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def wide_simhash(text, parts=3):
+    """Three words of a SimHash over the set of five-word shingles, as one integer."""
+    words = [w for w in re.split("[ \t\n\v\f\r]+", fold_ascii(text or "")) if w]
+    shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    out, full = 0, (1 << 64) - 1
+    for part in range(parts):
+        counts = [0] * 64
+        for s in shingles:
+            h = xxhash.xxh64_intdigest(s.encode(), 42)
+            for _ in range(2 if part else 0):
+                h = (h ^ h >> 32 ^ part) * 0xD6E8FEB86659FD93 & full
+            h ^= h >> 32 if part else 0
+            for b in range(64):
+                counts[b] += h >> b & 1
+        out |= sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles)) << 64 * part
+    return out
+
+
+def wide_link(a, b, parts=3, reach=6, limit=29):
+    words = [(a ^ b) >> 64 * k & (1 << 64) - 1 for k in range(parts)]
+    return min(w.bit_count() for w in words) <= reach and (a ^ b).bit_count() <= limit
+
+
 def components(points, near):
     """Smallest member of each point's component; ``points``: sorted (id, value)."""
     up = {i: i for i, _ in points}

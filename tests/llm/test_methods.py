@@ -3,6 +3,7 @@
 import math
 import random
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,48 @@ def test_more_blocks_for_more_fingerprints():
     assert simhash.blocks_for(0) == simhash.blocks_for(10**6) == 7 < simhash.blocks_for(10**10) < simhash.blocks_for(10**12)
 
 
+def test_wide_links(spark):
+    """Every link of brute force, in plain and in hot cells, and no other."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, (30, 3), dtype=np.uint64)
+    points = [c.copy() for c in centres]
+    for c in centres:
+        for far in (3, 12, 20, 29, 30, 36):
+            p = c.copy()
+            for bit in rng.choice(192, far, replace=False).tolist():
+                p[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            points.append(p)
+    nodes = [simhash.node_of(p) for p in points]
+    whole = [sum(int(w) << 64 * k for k, w in enumerate(p)) for p in points]
+    want = {frozenset((nodes[i], nodes[j])) for i in range(len(points)) for j in range(i) if brute.wide_link(whole[i], whole[j])}
+    prints = save(spark.createDataFrame([tuple(p.view(np.int64).tolist()) for p in points], "w0 long, w1 long, w2 long"))
+    groups = brute.components([(n, n) for n in sorted(nodes)], lambda a, b: frozenset((a, b)) in want)
+    for cell in (8192, 3):
+        found = simhash.near_links(prints, simhash.REACH, cell=cell, limit=29)
+        assert {frozenset(r) for r in found.collect()} <= want
+        got = dict(simhash.components(found).collect())
+        assert {n: got.get(n, n) for n in nodes} == groups
+
+
+def test_near_texts_go_and_others_stay(spark):
+    """Texts with a few words changed, at a similarity of 0.9 or more, join their original; half-changed ones and short other texts stay."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows, near, far = [], set(), set()
+    for k in range(40):
+        words = [word() for _ in range(300)]
+        rows.append((k, " ".join(words)))
+        for times, (share, ids) in enumerate(((2, near), (150, far)), 1):
+            other = list(words)
+            for at in rng.choice(300, share, replace=False).tolist():
+                other[at] = word()
+            rows.append((100 * times + k, " ".join(other)))
+            ids.add(100 * times + k)
+    rows += [(1000 + k, " ".join(word() for _ in range(k % 7))) for k in range(1, 50) if k % 7]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - near and far <= kept
+
+
 def test_blocks_find_the_same_links(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, 60)

@@ -26,8 +26,8 @@ def test_stages(spark, tmp_path):
             assert gone >= {10_001, 10_002} and gone == {i for i, (found, score) in scored.items() if found == "und" or score < 0.5}
         elif name == "near_duplicates":
             last = 1 << 60
-            prints = sorted((last if i is None else i, brute.simhash(t)) for i, t in before.items())
-            roots = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+            prints = sorted((last if i is None else i, brute.wide_simhash(t)) for i, t in before.items())
+            roots = brute.components(prints, brute.wide_link)
             assert {last if i is None else i for i in after} == {i for i, r in roots.items() if i == r}
         elif name == "decontaminate":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
