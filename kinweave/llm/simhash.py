@@ -228,13 +228,14 @@ def blocks_for(n: int, distance: int = DISTANCE) -> int:
     """How many blocks keep cells small for ``n`` distinct fingerprints: the least cost of copies made and pairs compared, were the bits even.
 
     A segment of two bits tells 1.415 bits (a share of 3/8 of all pairs agree); comparing a pair costs about a hundredth of making a copy.
+    Two blocks at least make a cell: the counts of a single one are too common.
     """
     def cost(blocks: int) -> float:
         kept = blocks - distance
         agree = (3 / 8) ** (64 / SEGMENT_BITS * kept / blocks)
         return comb(blocks, distance) * (n + 0.01 * n * n * agree / 2)
 
-    return min(range(max(BLOCKS, distance + 1), distance + 13), key=cost)
+    return min(range(max(BLOCKS, distance + 2), distance + 13), key=cost)
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL, limit: int | None = None) -> DataFrame:
