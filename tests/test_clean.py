@@ -70,3 +70,17 @@ def test_transliteration(spark):
     assert fold_text("Société") == "Societe"
     got = spark.createDataFrame([("टाटा मोटर्स",), (None,), ("",)], "s string").select(transliterate_any("s")).collect()
     assert got[0][0].isascii() and got[0][0] and got[1][0] is None and got[2][0] == ""
+
+
+@pytest.mark.parametrize(
+    ("addr", "country", "parts"),
+    [
+        ("10001 Rue de l'Île, 70001 Orléans, Ile-de-France", "France", ("10001 rue de l ile", "orleans", "ile-de-france", "70001")),
+        ("75001 Paris", "France", ("", "paris", "", "75001")),
+        ("Plot No. 123456, Link Rd, Pune, Maharashtra 413456", "India", ("123456, link road", "pune", "maharashtra", "413456")),
+        ("411001 Pune, Maharashtra", "India", ("", "pune", "maharashtra", "411001")),
+    ],
+)
+def test_house_number_is_no_postal_code(spark, addr, country, parts):
+    row = C.preprocess(spark.createDataFrame([("1", "x", addr, country)], "entity_id string, business_name string, business_address string, country string")).first()
+    assert (row.addr_clean, row.addr_city, row.addr_state, row.addr_postal_code) == parts
