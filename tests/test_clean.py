@@ -84,3 +84,12 @@ def test_transliteration(spark):
 def test_house_number_is_no_postal_code(spark, addr, country, parts):
     row = C.preprocess(spark.createDataFrame([("1", "x", addr, country)], "entity_id string, business_name string, business_address string, country string")).first()
     assert (row.addr_clean, row.addr_city, row.addr_state, row.addr_postal_code) == parts
+
+
+_LONG = [("1", "SARL Quai", "10001 Rue de l'Île, 70001 Orléans, Ile-de-France", "France"), ("2", "Smt Ram Pvt. Ltd.", "Plot No. 123456, Link Rd, Pune, Maharashtra 413456", "India")]
+
+
+def test_blocking_keys_with_long_house_numbers(spark):
+    df = spark.createDataFrame(_LONG, "entity_id string, business_name string, business_address string, country string")
+    rows = {r.entity_id: (r.postal_code, r.city_state) for r in C.blocking_keys(C.preprocess(df)).collect()}
+    assert rows == {"1": ("70001", "orleans_ile-de-france"), "2": ("413456", "pune_maharashtra")}
