@@ -93,3 +93,12 @@ def test_blocking_keys_with_long_house_numbers(spark):
     df = spark.createDataFrame(_LONG, "entity_id string, business_name string, business_address string, country string")
     rows = {r.entity_id: (r.postal_code, r.city_state) for r in C.blocking_keys(C.preprocess(df)).collect()}
     assert rows == {"1": ("70001", "orleans_ile-de-france"), "2": ("413456", "pune_maharashtra")}
+
+
+def test_clean_files_with_long_house_numbers(spark, tmp_path):
+    from kinweave.sources import sinks, tables
+
+    df = spark.createDataFrame(_LONG, "entity_id string, business_name string, business_address string, country string")
+    sinks.write_clean(C.preprocess(df), f"{tmp_path}/clean")
+    rows = {r.entity_id: (r.addr_city, r.addr_postal_code) for r in tables.load_clean(spark, f"{tmp_path}/clean", ["entity_id", "addr_city", "addr_postal_code"]).collect()}
+    assert rows == {"1": ("orleans", "70001"), "2": ("pune", "413456")}
