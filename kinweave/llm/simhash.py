@@ -6,9 +6,7 @@ all but d blocks at most, so such pairs share a grid cell (the counts of some ``
 compared by total count, by Manhattan distance and then exactly; a cell gives a spanning forest of its links, never all its pairs. Cells over ``CELL``
 fingerprints are dealt out as pairs of sub-blocks, so no task holds more than two of them.
 
-``keep_one`` asks for texts whose sets of five-word shingles have a similarity of 0.8 or more. Such texts differ in too many of 64 bits for one grid, so it takes
-fingerprints of ``PARTS`` words, each from hashes of its own: two link where some word differs in at most ``REACH`` bits (a grid for each word) and all words together differ in
-at most the share of bits that the similarity leaves (``bits_for``), which is checked before a cell's forest is made.
+``keep_one`` takes one text of each component under the exact links of ``jaccard``: sets of five-word shingles with a similarity of 0.8 or more.
 
 Links join to components by alternating large-star and small-star rounds over distinct fingerprints.
 
@@ -21,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import combinations
-from math import acos, comb, pi, prod
+from math import comb, prod
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +32,9 @@ from kinweave.llm.common import arrow, lean, save, slices
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 SEGMENT_BITS, BLOCKS = 2, 7
 CELL = 8192
-NEAR_SHINGLE, SIMILARITY, PARTS, REACH = 5, 0.8, 3, 6
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of one word for links of fingerprints of several words.
+REACH = 6
 
 def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
@@ -73,24 +73,6 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return majority(shingle_hashes(raw, shingle, seed))
 
 
-def remixed(hashes: np.ndarray, part: int) -> np.ndarray:
-    """Hashes for another word of a fingerprint; the first word takes them as they are."""
-    for _ in range(2 if part else 0):
-        hashes = (hashes ^ (hashes >> np.uint64(32)) ^ np.uint64(part)) * np.uint64(0xD6E8FEB86659FD93)
-    return hashes ^ (hashes >> np.uint64(32)) if part else hashes
-
-
-def wide_fingerprint(raw: bytes, shingle: int = NEAR_SHINGLE, parts: int = PARTS, seed: int = SEED) -> list[int]:
-    """``parts`` words of the SimHash of a text's set of shingles."""
-    hashes = np.unique(shingle_hashes(raw, shingle, seed))
-    return [majority(remixed(hashes, k)) for k in range(parts)]
-
-
-def bits_for(similarity: float, bits: int) -> int:
-    """In how many of ``bits`` bits sets of that Jaccard similarity differ on average: their angle's share of a half turn."""
-    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
-
-
 def node_of(words: np.ndarray) -> int:
     """One signed long for a fingerprint of one word or more."""
     return int(words.view(np.int64)[0]) if len(words) == 1 else _signed(xxhash.xxh64_intdigest(words.tobytes()))
@@ -110,23 +92,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return lean(docs).select(F.col("doc_id").cast("long"), F.col("row").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE, parts: int = PARTS) -> DataFrame:
-    """doc_id, row, fp (a long for the whole), w0, w1, ... of ``docs`` (doc_id, row, text)."""
-    words = [f"w{k}" for k in range(parts)]
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "fp", *words)])
-
-    def run(batches):
-        def each():
-            for ids, rows, texts in slices(batches, 64):
-                for d, r, t in zip(ids, rows, texts, strict=True):
-                    own = np.array(wide_fingerprint(t or b"", shingle, parts), np.uint64)
-                    yield d, r, node_of(own), *own.view(np.int64).tolist()
-
-        return arrow(each(), schema)
-
-    return lean(docs).select(F.col("doc_id").cast("long"), F.col("row").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
-
-
 def embed(fp: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:
     """Bit counts of the 64 / bits segments, as uint8."""
     shifts = np.arange(0, 64, bits, dtype=np.uint64)
@@ -337,13 +302,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return own.join(lows, "root").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, parts: int = PARTS, reach: int = REACH) -> DataFrame:
-    """One row of each component of ``docs`` (doc_id, text and any others): the least by doc_id (null last) and a hash of the whole row. Rows that repeat an id but not the text are judged apart."""
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component of ``docs`` (doc_id, text and any others) under links between all texts whose sets of shingles reach the similarity: the least by doc_id (null last) and a hash of the whole row. Rows that repeat an id but not the text are judged apart."""
+    from kinweave.llm import jaccard
+
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("did"), F.xxhash64(*columns).alias("row"), F.col("text").alias("text"))
-    prints = save(wide_fingerprints(keyed.select(F.col("did").alias("doc_id"), "row", "text"), shingle, parts))
-    own = rooted(prints, reach, [f"w{k}" for k in range(parts)], bits_for(similarity, 64 * parts))
-    first = F.min(F.struct((F.col("doc_id") == -(1 << 63)).alias("none"), F.col("doc_id").alias("did"), "row"))
+    own = jaccard.rooted(keyed.select("did", "row", "text"), shingle, similarity)
+    first = F.min(F.struct((F.col("did") == -(1 << 63)).alias("none"), "did", "row"))
     chosen = own.groupBy("fp", "root").agg(first.alias("m")).groupBy("root").agg(F.min("m").alias("m")).select("m.did", "m.row")
     # Equal rows share id and hash: one of them stays. The join has dealt them to one place already.
     kept = keyed.drop("text").join(chosen, ["did", "row"], "left_semi").dropDuplicates(["did", "row"])
