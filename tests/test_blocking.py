@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import values as V
 from kinweave.functions import block as B
 from kinweave.operators import blocking
 
@@ -113,3 +116,20 @@ def test_index_too_large_to_broadcast(spark, sf, monkeypatch):
     want = rows()
     monkeypatch.setattr(blocking, "BROADCAST_POSTINGS", 0)
     assert rows() == want
+
+
+def test_a_budget_takes_two_orders(spark):
+    """Every pair is put in order once, and what no budget can hold goes before the second order; the lists stay those of ranks over all pairs."""
+    rng = random.Random(4)
+    rows = [(f"S1-{q}", f"S{s}-{k}", rng.randint(0, 12)) for q in range(12) for s, n in ((2, rng.choice([0, 3, 40])), (3, rng.choice([1, 9, 30]))) for k in range(n)]
+    cut = blocking.budgeted(spark.createDataFrame(rows, "s1_id string, cand_id string, score long").repartition(2, "s1_id"), blocking.SMALL)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+    want = set()
+    for q in {r[0] for r in rows}:
+        own = sorted((-s, c) for k, c, s in rows if k == q)
+        good = sum(-s >= V.QUALITY for s, _ in own)
+        budget = blocking.SMALL.base if good <= blocking.SMALL.base else min(good, blocking.SMALL.most)
+        first = [c for source in ("S2", "S3") for _, c in [x for x in own if x[1][:2] == source][: budget // 2]]
+        rest = [c for _, c in own if c not in first]
+        want |= {(q, c) for c in (first + rest)[: budget if len(own) > budget else None]}
+    assert {(r.s1_id, r.cand_id) for r in cut.collect()} == want

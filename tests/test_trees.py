@@ -80,3 +80,19 @@ def test_siblings_by_difference():
 
     check(1, np.arange(500))
     assert len(nodes) > 7
+
+
+def test_features_are_counted_together(monkeypatch):
+    """A level passes over its rows once for some features together, not for each of them, and the trees stay those of features counted alone."""
+    rng, width, seen = np.random.default_rng(5), 12, []
+    sizes = [2, 3, 2, 7, *[trees.BINS] * 8]
+    bins, label = np.stack([rng.integers(0, s, 4000) for s in sizes]).astype(np.uint8), rng.integers(0, 2, 4000).astype(np.int32)
+    key, own = np.arange(4000, dtype=np.uint64), {"maxIter": 3, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda a, *more, **named: seen.append(len(a)) or count(a, *more, **named))
+    together = [np.array(t) for t in trees.grown(bins, label, key, Alone(), 2.0, own, 1)]
+    assert 0 < sum(seen) < 3 * 4 * 4000 * 2 * width * 0.25
+    some = [np.array(t) for t in trees.grown(bins, label, key, Alone(), 2.0, own, 1, sizes)]
+    monkeypatch.setattr(trees, "CELLS", trees.BINS)
+    alone = [np.array(t) for t in trees.grown(bins, label, key, Alone(), 2.0, own, 1)]
+    assert all(np.array_equal(a, b) and np.array_equal(a, c) for a, b, c in zip(together, some, alone, strict=True))
